@@ -102,13 +102,11 @@ def _sets(k):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of candidate pairs (u, v), those whose sets reach the similarity exactly."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = written(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles array<long>"), "tg-sets")
-    joined = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
-    both = F.size(F.array_intersect("su", "sv")).cast("long")
-    return joined.withColumn("both", both).where(den * F.col("both") >= num * (F.size("su") + F.size("sv") - F.col("both"))).select("u", "v")
+    one = lambda c: sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}"))
+    joined = pairs.join(one("u"), "u").join(one("v"), "v").withColumn("both", F.size(F.array_intersect("su", "sv")).cast("long"))
+    return joined.where(den * F.col("both") >= num * (F.size("su") + F.size("sv") - F.col("both"))).select("u", "v")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, similarity: tuple[int, int] = (9, 10)) -> DataFrame:
@@ -134,25 +132,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens = classes.select("rep", F.explode("sigs").alias("token"))
     by_token = W.partitionBy("token")
     shared = tokens.withColumn("first", F.min("rep").over(by_token)).withColumn("last", F.max("rep").over(by_token)).where("first <> last")
-    shared = written(shared.select("token", "rep", "first"), "tg-postings")
-
-    # Groups: classes certified as linked to the first class of a token they share.
-    stars = shared.where("rep <> first").groupBy(F.col("first").alias("u"), F.col("rep").alias("v")).agg(F.count("*").alias("n")).where("n >= 2").select("u", "v")
-    links = written(_linked(written(stars, "tg-stars"), texts, shingle_words, num, den), "tg-links")
+    shared = written(shared.select("token", "rep"), "tg-postings")
+
+    # Shingles that only one of these classes has lie outside every intersection: a set of n with u of
+    # them reaches a partner of at most ``reach`` shingles, as both / (n + m - both) >= num / den.
+    ids = shared.select(F.col("rep").alias("doc_id")).distinct()
+    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles array<long>")
+    sets = written(sets, "tg-sets")
+    once = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    stats = sets.select("rep", F.size("shingles").cast("long").alias("n")).join(once.groupBy("rep").agg(F.count("*").alias("u")), "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    reach = F.floor((F.col("n") - F.col("u")) * (num + den) / num).cast("long") - F.col("n") + 1
+    stats = written(stats.withColumn("reach", reach).where(den * (F.col("n") - F.col("u")) >= num * F.col("n")), "tg-stats")
+    live = shared.join(stats, "rep").withColumn("least", F.min("n").over(by_token)).where("least <= reach").drop("least")
+    live = written(live, "tg-live")
+
+    # Groups: classes certified as linked to the most typical class of a token they share.
+    typical = F.struct(F.col("u") / F.col("n"), "rep")
+    stars = live.withColumn("centre", F.min(typical).over(by_token)["rep"]).where("rep <> centre")
+    stars = stars.groupBy(F.col("centre").alias("u"), F.col("rep").alias("v")).agg(F.count("*").alias("n")).where("n >= 2").select("u", "v")
+    links = written(_linked(written(stars, "tg-stars"), sets, num, den), "tg-links")
     groups = connected_components(links)
 
     # The matrix: tokens by group. Only tokens that several groups hold can bound anything from below.
-    matrix = shared.select("token", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("grp", F.coalesce("component", "rep")).select("token", "rep", "grp")
-    matrix = matrix.withColumn("low", F.min("grp").over(by_token)).withColumn("high", F.max("grp").over(by_token)).where("low <> high").select("token", "rep", "grp")
+    matrix = live.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("grp", F.coalesce("component", "rep")).drop("component")
+    matrix = matrix.withColumn("low", F.min("grp").over(by_token)).withColumn("high", F.max("grp").over(by_token)).where("low <> high").drop("low", "high")
     matrix = written(matrix, "tg-matrix")
     if not matrix.isEmpty():
-        union = matrix.select("token", F.col("grp").alias("other")).distinct()
-        opened = matrix.join(union, "token").where("other < grp").groupBy("rep", "other").agg(F.count("*").alias("overlap")).where("overlap >= 2").select("rep", "other")
+        union = matrix.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("reach").alias("farthest"))
+        near = matrix.join(union, "token").where("other < grp and least <= reach and n <= farthest").groupBy("rep", "other").agg(F.count("*").alias("overlap"), F.min("least").alias("least"), F.first("n").alias("n")).where("overlap >= 2")
+        near = written(near.drop("overlap"), "tg-near")
+        # The bound proper: how much of the query the group's union of shingles can hold.
+        of_group = matrix.select(F.col("grp").alias("other"), "rep").distinct().join(near.select("other").distinct(), "other", "left_semi")
+        held = of_group.join(sets, "rep").select("other", F.explode("shingles").alias("shingle")).distinct()
+        asked = near.join(sets, "rep").select("rep", "other", "n", "least", F.explode("shingles").alias("shingle"))
+        bound = asked.join(held, ["other", "shingle"]).groupBy("rep", "other").agg(F.count("*").alias("o"), F.first("n").alias("n"), F.first("least").alias("least"))
+        opened = bound.where(den * F.col("o") >= num * (F.col("n") + F.greatest(F.col("least") - F.col("o"), F.lit(0)))).select("rep", "other")
+        opened = written(opened, "tg-opened")
         # Members of an opened group that share two tokens with the query themselves.
-        queries = matrix.join(opened, "rep").select("token", "rep", "other")
-        members = matrix.select("token", F.col("rep").alias("member"), F.col("grp").alias("other"))
-        pairs = queries.join(members, ["token", "other"]).groupBy(F.col("member").alias("u"), F.col("rep").alias("v")).agg(F.count("*").alias("n")).where("n >= 2").select("u", "v")
-        more = _linked(written(pairs, "tg-opened"), texts, shingle_words, num, den)
+        queries = matrix.join(opened, "rep").select("token", "rep", "other", F.col("n").alias("qn"), F.col("reach").alias("qreach"))
+        members = matrix.select("token", F.col("rep").alias("member"), F.col("grp").alias("other"), "n", "reach")
+        pairs = queries.join(members, ["token", "other"]).where("qn <= reach and n <= qreach").groupBy(F.col("member").alias("u"), F.col("rep").alias("v")).agg(F.count("*").alias("n")).where("n >= 2").select("u", "v")
+        more = _linked(written(pairs, "tg-pairs"), sets, num, den)
         links = written(links.union(more), "tg-links")
         groups = connected_components(links)
     class_ids = classes.select("d1", "d2", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_component"))
