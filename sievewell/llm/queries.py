@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe
+from . import byte_bpe, secret_scan
 from .additive_ann import nearest
 from .common import table
 from .embedding_near_dup import near_duplicates
@@ -22,6 +22,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents")))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -40,9 +44,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_secret_scan": op5_secret_scan,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_additive_ann": op9_additive_ann,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_secret_scan": secret_scan.oracle()}
