@@ -159,19 +159,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     matrix = written(matrix, "tg-matrix")
     if not matrix.isEmpty():
         union = matrix.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("reach").alias("farthest"))
-        near = matrix.join(union, "token").where("other < grp and least <= reach and n <= farthest").groupBy("rep", "other").agg(F.count("*").alias("overlap"), F.min("least").alias("least"), F.first("n").alias("n")).where("overlap >= 2")
-        near = written(near.drop("overlap"), "tg-near")
-        # The bound proper: how much of the query the group's union of shingles can hold.
-        of_group = matrix.select(F.col("grp").alias("other"), "rep").distinct().join(near.select("other").distinct(), "other", "left_semi")
-        held = of_group.join(sets, "rep").select("other", F.explode("shingles").alias("shingle")).distinct()
-        asked = near.join(sets, "rep").select("rep", "other", "n", "least", F.explode("shingles").alias("shingle"))
-        bound = asked.join(held, ["other", "shingle"]).groupBy("rep", "other").agg(F.count("*").alias("o"), F.first("n").alias("n"), F.first("least").alias("least"))
-        opened = bound.where(den * F.col("o") >= num * (F.col("n") + F.greatest(F.col("least") - F.col("o"), F.lit(0)))).select("rep", "other")
-        opened = written(opened, "tg-opened")
-        # Members of an opened group that share two tokens with the query themselves.
-        queries = matrix.join(opened, "rep").select("token", "rep", "other", F.col("n").alias("qn"), F.col("reach").alias("qreach"))
-        members = matrix.select("token", F.col("rep").alias("member"), F.col("grp").alias("other"), "n", "reach")
-        pairs = queries.join(members, ["token", "other"]).where("qn <= reach and n <= qreach").groupBy(F.col("member").alias("u"), F.col("rep").alias("v")).agg(F.count("*").alias("n")).where("n >= 2").select("u", "v")
+        near = matrix.join(union, "token").where("other < grp and least <= reach and n <= farthest").groupBy("rep", "other").agg(F.count("*").alias("overlap"), F.min("least").alias("least"), F.first("n").alias("n"), F.first("reach").alias("reach")).where("overlap >= 2")
+        of_group = written(matrix.select(F.col("grp").alias("other"), F.col("rep").alias("member"), F.col("n").alias("m"), F.col("reach").alias("far")).distinct(), "tg-members")
+        sizes = of_group.groupBy("other").agg(F.count("*").alias("members"))
+        near = written(near.drop("overlap").join(sizes, "other"), "tg-near")
+        # The bound proper, for groups of several: how much of the query their union of shingles can hold.
+        large = near.where("members > 1")
+        held = of_group.join(large.select("other").distinct(), "other", "left_semi").select("other", F.col("member").alias("rep")).join(sets, "rep").select("other", F.explode("shingles").alias("shingle")).distinct()
+        asked = large.join(sets, "rep").select("rep", "other", F.explode("shingles").alias("shingle"))
+        missing = asked.join(held, ["other", "shingle"], "left_anti").groupBy("rep", "other").agg(F.count("*").alias("out"))
+        bound = large.join(missing, ["rep", "other"], "left").withColumn("o", F.col("n") - F.coalesce("out", F.lit(0)))
+        bound = bound.where(den * F.col("o") >= num * (F.col("n") + F.greatest(F.col("least") - F.col("o"), F.lit(0))))
+        opened = written(near.where("members = 1").select("rep", "other", "n", "reach").union(bound.select("rep", "other", "n", "reach")), "tg-opened")
+        pairs = opened.join(of_group, "other").where("n <= far and m <= reach").select(F.col("member").alias("u"), F.col("rep").alias("v"))
         more = _linked(written(pairs, "tg-pairs"), sets, num, den)
         links = written(links.union(more), "tg-links")
         groups = connected_components(links)
