@@ -111,3 +111,35 @@ def shingle_sets(part: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
         new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
         hashes, docs = hashes[new], docs[new]
     return hashes, np.searchsorted(docs, np.arange(len(part) + 1))
+
+
+_KIND = np.ones(256, dtype=np.uint8)  # letters, digits and the bytes of other scripts
+_KIND[:128] = 2  # signs
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_KIND[[*range(0, 33), 127]] = 0
+
+
+def token_hashes(part: list[bytes], lower: bool, stems: int = 0) -> tuple[np.ndarray, ...]:
+    """As ``word_hashes``, for runs of letters and digits and runs of signs apart.
+
+    With ``stems``, a third array has the hash of each token's first bytes, of as many, 0 for shorter tokens.
+    """
+    data = np.frombuffer(b"\n".join(part) + b"\n", dtype=np.uint8)
+    kind = _KIND[data]
+    change = np.empty(len(kind), dtype=bool)
+    change[0] = True
+    change[1:] = kind[1:] != kind[:-1]
+    at = np.flatnonzero(change)
+    ends = np.append(at[1:], len(data))
+    some = kind[at] > 0
+    starts, ends = at[some], ends[some]
+    sums = prefix_sums(_LOWER[data] if lower else data)
+    _, down = powers(len(data) + 1)
+    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    bounds = np.zeros(len(part) + 1, dtype=np.int64)
+    np.cumsum([len(b) + 1 for b in part], out=bounds[1:])
+    if not stems:
+        return hashes, np.searchsorted(starts, bounds)
+    cut = np.minimum(starts + stems, ends)
+    stem = mix((sums[cut] - sums[starts]) * down[starts] ^ _U(0x5DEECE66D))
+    return hashes, np.searchsorted(starts, bounds), np.where(ends - starts >= stems, stem, _U(0))
