@@ -12,6 +12,7 @@ from .common import table
 from .embedding_near_dup import near_duplicates
 from .packing import pack, token_pieces
 from .quality import score_documents
+from .suffix_dedup import remove_repeats
 from .token_group_join import jaccard_components
 from .toxicity import toxicity
 
@@ -32,6 +33,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"), window=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity_chain": op3_toxicity_chain,
     "op5_secret_scan": op5_secret_scan,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_additive_ann": op9_additive_ann,
