@@ -10,6 +10,7 @@ from . import byte_bpe, secret_scan
 from .additive_ann import nearest
 from .common import table
 from .embedding_near_dup import near_duplicates
+from .html_text import extract
 from .packing import pack, token_pieces
 from .quality import score_documents
 from .suffix_dedup import remove_repeats
@@ -29,6 +30,10 @@ def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity_chain": op3_toxicity_chain,
+    "op4_html_extraction": op4_html_extraction,
     "op5_secret_scan": op5_secret_scan,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_byte_bpe": op7_byte_bpe,
