@@ -28,7 +28,7 @@ ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 3, 2, 4, 4
 #: A bin filled less is packed again with those of other shards.
 WELL_FILLED = 0.995
 _TOKENIZERS: dict[str, "_WordTokenizer"] = {}
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 1_200_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,39 +40,56 @@ class _WordTokenizer:
     """Ids of a text through those of its space-separated words, which no token of this vocabulary spans."""
 
     def __init__(self, path: str):
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.split = Tokenizer.from_file(path)
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.split.token_to_id(self.mark)
-        self.known: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes] = {"": b""}
+        self.stops = {c: self._raw(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
+
+    @staticmethod
+    def _raw(ids) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > _KEPT_WORDS:
-            self.known.clear()
-        clean = [w for w in words if "<|" not in w]
+        # The vocabulary has lower case only, and a stop after a letter is a token of its own.
+        made, fresh = [], {}
         for w in words:
-            if "<|" in w:
-                self.known[w] = np.array(self.plain.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        for low in range(0, len(clean), 2000):
-            part = clean[low : low + 2000]
-            ids = np.array(self.split.encode(self.mark.join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, [*ends.tolist(), len(ids)]):
-                self.known[w] = raw[4 * at : 4 * end]
-                at = end + 1
+            if not w.isascii():
+                fresh[w] = None
+                continue
+            base, stop = w.lower(), b""
+            if len(base) > 1 and base[-1] in ".," and base[-2].isalpha():
+                base, stop = base[:-1], self.stops[base[-1]]
+            if base not in self.known:
+                fresh[base] = None
+            if base != w:
+                made.append((w, base, stop))
+        fresh = list(fresh)
+        for low in range(0, len(fresh), 4000):
+            part = fresh[low : low + 4000]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.zeros(len(part) + 1, dtype=np.int64)
+            np.cumsum([len(w) + 1 for w in part], out=starts[1:])
+            cuts = (4 * np.searchsorted(np.array([a for a, _ in got.offsets], dtype=np.int64), starts)).tolist()
+            raw = self._raw(got.ids)
+            for w, a, b in zip(part, cuts, cuts[1:]):
+                self.known[w] = raw[a:b]
+        for w, base, stop in made:
+            self.known[w] = self.known[base] + stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        if fresh:
-            if len(known) + len(fresh) > _KEPT_WORDS:
-                fresh = list({w for words in split for w in words})
+        found = [list(map(self.known.get, words)) for words in split]
+        open_texts = [i for i, raw in enumerate(found) if None in raw]
+        if open_texts:
+            fresh = list({w for i in open_texts for w, raw in zip(split[i], found[i]) if raw is None})
+            if len(self.known) + 2 * len(fresh) > _KEPT_WORDS:
+                self.known = {"": b""}
+                fresh = list({w for i in open_texts for w in split[i]})
             self._learn(fresh)
-        return [b"".join([known[w] for w in words]) for words in split]
+            for i in open_texts:
+                found[i] = list(map(self.known.__getitem__, split[i]))
+        return [b"".join(raw) for raw in found]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
