@@ -154,8 +154,8 @@ def _spans(rule: Rule, order: int) -> Column:
     return F.expr(f"case when size(ms_{rule.kind}) > 0 then {steps} else {none} end")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
-    """One row (doc_id, text, found) per input row; ``found`` is an array of (start, place, end, kind, m) by start, then rule.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row (doc_id, text, found and the carried columns) per input row; ``found`` is an array of (start, place, end, kind, m) by start, then rule.
 
     Offsets count code points, the end is exclusive. Null texts count as empty and
     hold nothing; repeated rows each give a row; a null id keeps its row, found by
@@ -163,7 +163,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
     are not read; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
     listed = candidates(trigram_postings(texts, "doc_id", "text", vocabulary(rules)), rules)
     both = texts.join(listed, "doc_id", "left")
     for r in rules:
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
             matches = F.when(F.array_contains("kinds", r.kind), matches).otherwise(F.array().cast("array<string>"))
         both = both.withColumn(f"ms_{r.kind}", matches)
     spans = F.array_sort(F.concat(*[_spans(r, i) for i, r in enumerate(rules)]))
-    return both.select("doc_id", "text", spans.alias("found"))
+    return both.select("doc_id", "text", *carry, spans.alias("found"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -183,12 +183,12 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """(doc_id, text) with every found span replaced; overlapping spans are replaced together."""
+    """The scanned rows, without ``found``, with every found span replaced; overlapping spans are replaced together."""
     kept = """aggregate(found, cast(struct(0 as pos, '' as out) as struct<pos:int,out:string>),
         (a, x) -> struct(greatest(a.pos, x.end) as pos,
             case when x.start >= a.pos then concat(a.out, substring(text, a.pos + 1, x.start - a.pos), {mark}) else a.out end as out),
         a -> concat(a.out, substring(text, a.pos + 1)))""".format(mark=_quoted(mark))
-    return scanned.select("doc_id", F.expr(f"case when size(found) = 0 then text else {kept} end").alias("text"))
+    return scanned.withColumn("text", F.expr(f"case when size(found) = 0 then text else {kept} end")).drop("found")
 
 
 def _duckdb_spans(order: int, kind: str, pattern: str, condition: str) -> str:

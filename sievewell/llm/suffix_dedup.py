@@ -188,7 +188,7 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     return whole.union(in_cells).union(in_windows)
 
 
-def _keep(window: int):
+def _keep(window: int, as_text: bool):
     def run(parts):
         for rows in parts:
             out = []
@@ -210,24 +210,30 @@ def _keep(window: int):
                     kept.append(raw[at:a])
                     at = b
                 kept.append(raw[at:])
-                out.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), b"".join(kept)))
+                left = b"".join(kept)
+                out.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), left.decode("utf-8", "ignore") if as_text else left))
             if out:
                 c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                kept = pa.array(c[4], pa.string() if as_text else pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), kept, *rows.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *rows.schema.names[3:]])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, as_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` and the carried columns.
+
+    ``kept`` is binary, or with ``as_text`` a string without the characters that a cut has halved.
 
     Every byte goes that a ``window``-byte string covers which starts anywhere else,
     in the same text or another, judged on the input. Matches never cross texts.
     Null and short texts are kept as they are; repeated rows repeat each other, so
     their long parts go from each; rows that share an id are taken to share the
-    text; a row without id keeps its bytes, though others match it; other columns
-    are not read; an empty table gives an empty result.
+    text; a row without id keeps its bytes, though others match it; columns that
+    are not carried are not read; an empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = repeated_windows(texts, window).groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("found"))
-    return texts.join(found, "row", "left").mapInArrow(_keep(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
+    found = repeated_windows(texts.select("row", "text"), window).groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("found"))
+    joined = texts.join(found, "row", "left").select("row", "text", "found", *carry)
+    carried = "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in carry)
+    return joined.mapInArrow(_keep(window, as_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{carried}")
