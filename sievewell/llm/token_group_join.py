@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import prepare, written
+from .common import prepare, release, written
 from .components import connected_components
 from .texthash import batches, mix, shingle_sets
 
 _U = np.uint64
-_SUMMARY = "doc_id long, n_shingles long, d1 long, d2 long, sigs array<long>"
+_SUMMARY = "doc_id long, n_shingles long, d1 long, d2 long"
+#: Digests that a task remembers, so that copies which meet in it are not indexed again.
+_REMEMBERED = 1_000_000
 
 
 def _bands(top: int, num: int, den: int) -> list[int]:
@@ -73,20 +75,44 @@ def _bucket_tokens(hashes, at, num, den):
     return values[order].view(np.int64), np.searchsorted(owners[order], np.arange(len(n) + 1))
 
 
-def _summaries(k, num, den):
+def _digests(hashes, at):
+    u = hashes.view(np.uint64)
+    sums = [np.concatenate([[_U(0)], np.cumsum(mix(u + _U(s)))]) for s in (0x51ED27, 0xC2B2AE)]
+    return [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
+
+
+def _summaries(k):
     def run(parts):
         for rows in parts:
             ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
             for first, part in batches(texts):
                 hashes, at = shingle_sets(part, k)
-                n = np.diff(at)
-                u = hashes.view(np.uint64)
-                sums = [np.concatenate([[_U(0)], np.cumsum(mix(u + _U(s)))]) for s in (0x51ED27, 0xC2B2AE)]
-                tokens, bounds = _bucket_tokens(hashes, at, num, den)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first : first + len(part)], pa.int64()), pa.array(n, pa.int64()), *(pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int64()))],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sigs"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(part)], pa.int64()), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digests(hashes, at))], names=["doc_id", "n_shingles", "d1", "d2"])
+
+    return run
+
+
+def _tokens(k, num, den):
+    """(token, class digest) of every set; copies within a task only once."""
+
+    def run(parts):
+        seen: set[int] = set()
+        for rows in parts:
+            for _, part in batches(rows.column(0).to_pylist()):
+                hashes, at = shingle_sets(part, k)
+                digest = _digests(hashes, at)[0]
+                fresh = np.zeros(len(part), dtype=bool)
+                for i, d in enumerate(digest.tolist()):
+                    if d not in seen:
+                        seen.add(d)
+                        fresh[i] = True
+                if len(seen) > _REMEMBERED:
+                    seen.clear()
+                n = np.where(fresh, np.diff(at), 0)
+                keep = np.repeat(fresh, np.diff(at))
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                tokens, owners = _bucket_tokens(hashes[keep], bounds, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(digest, np.diff(owners)))], names=["token", "cls"])
 
     return run
 
@@ -123,16 +149,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = prepare(docs.sparkSession)
     num, den = similarity
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = written(texts.mapInArrow(_summaries(shingle_words, num, den), _SUMMARY), "tg-sets-summary")
+    known = written(texts.mapInArrow(_summaries(shingle_words), _SUMMARY), "tg-sets-summary")
 
-    # Classes of equal sets; only one member of each goes on.
+    # Classes of equal sets; only the smallest id of each goes on.
     full = known.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("sigs", "doc_id").alias("sigs"))
-    classes = written(classes, "tg-classes")
-    tokens = classes.select("rep", F.explode("sigs").alias("token"))
+    classes = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "tg-classes")
     by_token = W.partitionBy("token")
-    shared = tokens.withColumn("first", F.min("rep").over(by_token)).withColumn("last", F.max("rep").over(by_token)).where("first <> last")
-    shared = written(shared.select("token", "rep"), "tg-postings")
+    tokens = texts.where("doc_id is not null").select("text").mapInArrow(_tokens(shingle_words, num, den), "token long, cls long")
+    met = tokens.withColumn("first", F.min("cls").over(by_token)).withColumn("last", F.max("cls").over(by_token)).where("first <> last")
+    met = written(met.select("token", "cls").distinct(), "tg-met")
+    shared = met.join(classes.select(F.col("d1").alias("cls"), "rep"), "cls").select("token", "rep")
+    shared = written(shared, "tg-postings")
+    release(met)
 
     # Shingles that only one of these classes has lie outside every intersection: a set of n with u of
     # them reaches a partner of at most ``reach`` shingles, as both / (n + m - both) >= num / den.
