@@ -11,12 +11,15 @@ are packed again with those of other shards, until one shard holds them all.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
@@ -28,7 +31,10 @@ ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 3, 2, 4, 4
 #: A bin filled less is packed again with those of other shards.
 WELL_FILLED = 0.995
 _TOKENIZERS: dict[str, "_WordTokenizer"] = {}
-_KEPT_WORDS = 1_200_000
+_KEPT_WORDS = 400_000
+#: The end of a word; no text word of letters holds it.
+_MARK = "\ue000"
+_LETTERS = re.compile("[a-zà-öø-ÿß]+")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,59 +43,117 @@ def default_vocabulary() -> str:
 
 
 class _WordTokenizer:
-    """Ids of a text through those of its space-separated words, which no token of this vocabulary spans."""
+    """Ids of a text through those of its space-separated words, which no token of this vocabulary spans.
+
+    Words of plain letters, by far the most, are merged by tiktoken over the same
+    vocabulary: a mark stands for the end of a word and is joined to its last byte
+    before anything else. What that gives is what the tokenizer gives, as every
+    token of the vocabulary is what its own bytes merge to. All other words go to
+    the tokenizer itself.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
         self.stops = {c: self._raw(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
+        model = json.loads(self.tokenizer.to_str())["model"]
+        self.merger, self.ids, self.ends = _merger(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
 
     @staticmethod
     def _raw(ids) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
+    def _merge(self, words: list[str]) -> None:
+        """Words of letters only."""
+        for low in range(0, len(words), 8000):
+            part = words[low : low + 8000]
+            ranks = np.array(self.merger.encode_ordinary(_MARK.join(part) + _MARK), dtype=np.int64)
+            cuts = (4 * (np.flatnonzero(self.ends[ranks]) + 1)).tolist()
+            raw, at = self.ids[ranks].tobytes(), 0
+            for w, end in zip(part, cuts):
+                self.known[w] = raw[at:end]
+                at = end
+
+    def _ask(self, words: list[str]) -> None:
+        for low in range(0, len(words), 4000):
+            part = words[low : low + 4000]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.zeros(len(part) + 1, dtype=np.int64)
+            np.cumsum([len(w) + 1 for w in part], out=starts[1:])
+            cuts = (4 * np.searchsorted(np.array([a for a, _ in got.offsets], dtype=np.int64), starts)).tolist()
+            raw = self._raw(got.ids)
+            for w, a, b in zip(part, cuts, cuts[1:]):
+                self.known[w] = raw[a:b]
+
     def _learn(self, words: list[str]) -> None:
-        # The vocabulary has lower case only, and a stop after a letter is a token of its own.
-        made, fresh = [], {}
+        letters, other, made = {}, {}, []
+        known = self.known
         for w in words:
-            if not w.isascii():
-                fresh[w] = None
+            if w.isalpha() and w.isascii() and w.islower():
+                letters[w] = None
                 continue
             base, stop = w.lower(), b""
             if len(base) > 1 and base[-1] in ".," and base[-2].isalpha():
                 base, stop = base[:-1], self.stops[base[-1]]
-            if base not in self.known:
-                fresh[base] = None
+            if not _LETTERS.fullmatch(base):
+                other[w] = None
+                continue
+            if base not in known:
+                letters[base] = None
             if base != w:
                 made.append((w, base, stop))
-        fresh = list(fresh)
-        for low in range(0, len(fresh), 4000):
-            part = fresh[low : low + 4000]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.zeros(len(part) + 1, dtype=np.int64)
-            np.cumsum([len(w) + 1 for w in part], out=starts[1:])
-            cuts = (4 * np.searchsorted(np.array([a for a, _ in got.offsets], dtype=np.int64), starts)).tolist()
-            raw = self._raw(got.ids)
-            for w, a, b in zip(part, cuts, cuts[1:]):
-                self.known[w] = raw[a:b]
+        self._merge(list(letters))
+        self._ask(list(other))
         for w, base, stop in made:
             self.known[w] = self.known[base] + stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        open_texts = [i for i, raw in enumerate(found) if None in raw]
-        if open_texts:
-            fresh = list({w for i in open_texts for w, raw in zip(split[i], found[i]) if raw is None})
+        out: list[bytes | None] = []
+        fresh: set[str] = set()
+        for words in split:
+            found = list(map(self.known.get, words))
+            try:
+                out.append(b"".join(found))
+            except TypeError:
+                out.append(None)
+                fresh.update([w for w, raw in zip(words, found) if raw is None])
+        if fresh:
+            again = [i for i, raw in enumerate(out) if raw is None]
             if len(self.known) + 2 * len(fresh) > _KEPT_WORDS:
                 self.known = {"": b""}
-                fresh = list({w for i in open_texts for w in split[i]})
-            self._learn(fresh)
-            for i in open_texts:
-                found[i] = list(map(self.known.__getitem__, split[i]))
-        return [b"".join(raw) for raw in found]
+                fresh = {w for i in again for w in split[i]}
+            self._learn(list(fresh))
+            for i in again:
+                out[i] = b"".join(map(self.known.__getitem__, split[i]))
+        return out
+
+
+def _merger(vocab: dict[str, int], merges: list[tuple[str, str]]):
+    """(tiktoken over the vocabulary, the vocabulary's id of each rank, whether the rank ends a word)."""
+    to_char = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    to_char |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in to_char)}
+    to_byte = {c: b for b, c in to_char.items()}
+    mark = _MARK.encode()
+    ranks, ids, ends = {bytes([b]): b for b in range(256)}, [vocab[to_char[b]] for b in range(256)], [False] * 256
+
+    def add(raw: bytes, number: int, end: bool) -> None:
+        if raw not in ranks:
+            ranks[raw] = len(ids)
+            ids.append(number)
+            ends.append(end)
+
+    for n in range(2, len(mark) + 1):
+        add(mark[:n], 0, False)
+    for b in range(256):
+        add(bytes([b]) + mark, vocab[to_char[b] + "</w>"], True)
+    for left, right in merges:
+        token = left + right
+        end = token.endswith("</w>")
+        add(bytes(to_byte[c] for c in (token[:-4] if end else token)) + mark * end, vocab[token], end)
+    return tiktoken.Encoding("words", pat_str=f"[^{_MARK}]*{_MARK}", mergeable_ranks=ranks, special_tokens={}), np.array(ids, dtype="<u4"), np.array(ends)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
