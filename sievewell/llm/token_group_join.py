@@ -173,18 +173,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stats = written(stats.withColumn("reach", reach).where(den * (F.col("n") - F.col("u")) >= num * F.col("n")), "tg-stats")
     live = shared.join(stats, "rep").withColumn("least", F.min("n").over(by_token)).where("least <= reach").drop("least")
     live = written(live, "tg-live")
+    release(shared, stats)
 
     # Groups: classes certified as linked to the most typical class of a token they share.
     typical = F.struct(F.col("u") / F.col("n"), "rep")
     stars = live.withColumn("centre", F.min(typical).over(by_token)["rep"]).where("rep <> centre")
     stars = stars.groupBy(F.col("centre").alias("u"), F.col("rep").alias("v")).agg(F.count("*").alias("n")).where("n >= 2").select("u", "v")
-    links = written(_linked(written(stars, "tg-stars"), sets, num, den), "tg-links")
+    stars = written(stars, "tg-stars")
+    links = written(_linked(stars, sets, num, den), "tg-links")
+    release(stars)
     groups = connected_components(links)
 
     # The matrix: tokens by group. Only tokens that several groups hold can bound anything from below.
     matrix = live.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("grp", F.coalesce("component", "rep")).drop("component")
     matrix = matrix.withColumn("low", F.min("grp").over(by_token)).withColumn("high", F.max("grp").over(by_token)).where("low <> high").drop("low", "high")
     matrix = written(matrix, "tg-matrix")
+    release(live)
     if not matrix.isEmpty():
         union = matrix.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("reach").alias("farthest"))
         near = matrix.join(union, "token").where("other < grp and least <= reach and n <= farthest").groupBy("rep", "other").agg(F.count("*").alias("overlap"), F.min("least").alias("least"), F.first("n").alias("n"), F.first("reach").alias("reach")).where("overlap >= 2")
@@ -200,9 +204,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         bound = bound.where(den * F.col("o") >= num * (F.col("n") + F.greatest(F.col("least") - F.col("o"), F.lit(0))))
         opened = written(near.where("members = 1").select("rep", "other", "n", "reach").union(bound.select("rep", "other", "n", "reach")), "tg-opened")
         pairs = opened.join(of_group, "other").where("n <= far and m <= reach").select(F.col("member").alias("u"), F.col("rep").alias("v"))
-        more = _linked(written(pairs, "tg-pairs"), sets, num, den)
-        links = written(links.union(more), "tg-links")
+        pairs = written(pairs, "tg-pairs")
+        release(near, of_group, opened)
+        fewer, links = links, written(links.union(_linked(pairs, sets, num, den)), "tg-links")
         groups = connected_components(links)
+        release(pairs, fewer)
+    release(matrix, sets, links)
     class_ids = classes.select("d1", "d2", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_component"))
     narrow = known.select("doc_id", "n_shingles", "d1", "d2", (F.col("n_shingles") > 0).alias("some"))
     out = narrow.where("some").join(class_ids, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
