@@ -336,8 +336,10 @@ def listing_hosts(spark, sf_dir):
 @_query(f"""select ordinal, company_name, score from (select *, row_number() over (order by coalesce(score, -1) desc, ordinal) as place from {EVALUATED} where verdict = 'GO') where place between 21 and 40""")
 def filtered_page(spark, sf_dir):
     """The second page, of twenty, of one verdict by score."""
-    items = evaluate(postings(spark, sf_dir), PERSONA).where("verdict = 'GO'").orderBy(F.coalesce("score", F.lit(-1)).desc(), "ordinal")
-    return items.offset(20).limit(20).select("ordinal", "company_name", "score")
+    # Other verdicts sort last and go after the limit: a filter on the verdict below it would be inlined into the scan with all its inputs.
+    first = F.when(F.col("verdict") == "GO", F.coalesce("score", F.lit(-1))).desc_nulls_last()
+    page = evaluate(postings(spark, sf_dir), PERSONA).orderBy(first, "ordinal").offset(20).limit(20)
+    return page.where("verdict = 'GO'").select("ordinal", "company_name", "score")
 
 
 @_query("""select url, origin, ts from (select *, row_number() over (partition by url order by ts desc, origin) as place from (
