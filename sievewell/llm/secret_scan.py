@@ -158,14 +158,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
     """One row (doc_id, text, found and the carried columns) per input row; ``found`` is an array of (start, place, end, kind, m) by start, then rule.
 
     Offsets count code points, the end is exclusive. Null texts count as empty and
-    hold nothing; repeated rows each give a row; a null id keeps its row, found by
-    the rules that search everything and, by them alone, no others; other columns
-    are not read; an empty table gives an empty result.
+    hold nothing; repeated rows each give a row; a row without id has no postings
+    and is searched by every rule; other columns are not read; an empty table gives
+    an empty result.
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
-    listed = candidates(trigram_postings(texts, "doc_id", "text", vocabulary(rules)), rules)
-    both = texts.join(listed, "doc_id", "left")
+    named, nameless = texts.where("doc_id is not null"), texts.where("doc_id is null")
+    listed = candidates(trigram_postings(named, "doc_id", "text", vocabulary(rules)), rules)
+    every = F.array(*[F.lit(r.kind) for r in rules])
+    both = named.join(listed, "doc_id", "left").unionByName(nameless.withColumn("kinds", every))
     for r in rules:
         matches = F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))
         if trigram_query(r.pattern):

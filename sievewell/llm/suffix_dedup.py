@@ -165,9 +165,9 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = written(whole, "sd-whole")
 
     weight = F.least("w", F.lit(2)).cast("int").alias("weight")
-    opened = judged.where("open").select("anchor", "content", weight, "one.row", "one.start", "one.n", "one.lead").where("row is not null")
+    opened = judged.where("open").select("anchor", "content", weight, "one.row", "one.start", "one.n", "one.lead")
     bits = spark.sparkContext.broadcast(_bits(opened))
-    slotted = texts.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)).cast("int").alias("slot")).where("row is not null")
+    slotted = texts.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)).cast("int").alias("slot"))
     some = slotted.mapInArrow(_maybe(bits), "row long, text string").dropDuplicates(["row"])
     by_row = opened.groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "weight", "row", "start", "n", "lead")).alias("runs"))
     parts = some.join(by_row, "row").select("text", "runs").mapInArrow(_slices(window), "anchor long, content long, weight int, row long, start long, lead int, bytes binary")
@@ -228,12 +228,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every byte goes that a ``window``-byte string covers which starts anywhere else,
     in the same text or another, judged on the input. Matches never cross texts.
     Null and short texts are kept as they are; repeated rows repeat each other, so
-    their long parts go from each; rows that share an id are taken to share the
-    text; a row without id keeps its bytes, though others match it; columns that
-    are not carried are not read; an empty table gives an empty result.
+    their long parts go from each; rows are known by a hash of id and text, so that
+    rows without id and different texts of one id are kept apart; columns that are
+    not carried are not read; an empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
+    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
     found = repeated_windows(texts.select("row", "text"), window).groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("found"))
-    joined = texts.join(found, "row", "left").select("row", "text", "found", *carry)
+    joined = texts.join(found, "row", "left").select("doc_id", "text", "found", *carry)
     carried = "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in carry)
     return joined.mapInArrow(_keep(window, as_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{carried}")
