@@ -4,7 +4,10 @@ A vector is coded as a sum of full-dimensional codewords, one of each codebook.
 Codebooks are fitted stage by stage on the residuals of a bounded sample; codes
 are found by beam search. A query's products with all codewords make a lookup
 table, so a candidate's distance is a sum of table entries plus its stored norm.
-The best candidates of each block are ranked again by their exact distance.
+The best candidates of each block are ranked by their exact distance, and after
+them all whose table distance, less the error of their code, does not exceed the
+last distance kept: what the table cannot rule out is looked at. Equal vectors
+are coded once, as a class with its smallest ids.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from .vectors import is_valid, matrix, sample_matrix
 SAMPLE_ROWS = 8192
 CODEBOOKS, CODEWORDS, BEAM = 16, 256, 3
 BLOCK_ROWS, QUERY_ROWS = 4096, 512
-#: Candidates of each block that are ranked exactly, for each query.
+#: Candidates of each block that are ranked exactly first, for each query; they give the bound for the others.
 RERANKED = 128
 
 
@@ -44,8 +47,8 @@ def fit_codebooks(x: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CO
     return np.array(books)
 
 
-def beam_encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (rows, codebooks) and squared norms of what they stand for."""
+def beam_encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (rows, codebooks), squared norms of what they stand for, and its distances from the rows."""
     n, d = x.shape
     k = books.shape[1]
     rest = x[:, None, :]
@@ -62,31 +65,32 @@ def beam_encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.
     pick = error.argmin(axis=1)
     rows = np.arange(n)
     coded = x - rest[rows, pick]
-    return codes[rows, pick], np.einsum("ij,ij->i", coded, coded)
+    return codes[rows, pick], np.einsum("ij,ij->i", coded, coded), np.sqrt(error[rows, pick])
 
 
 def _blocks(books: np.ndarray | None, size: int):
-    """Rows (vec_id, embedding) to blocks; with codebooks, codes and norms too."""
+    """Rows (members, embedding) to blocks; with codebooks, codes, norms and errors too."""
 
     def run(parts):
         number = TaskContext.get().partitionId() << 32
-        ids, xs, held = [], [], 0
+        members, xs, held = [], [], 0
 
-        def block(i, x):
-            codes, norms = beam_encode(x, books) if books is not None else (np.zeros(0, np.uint8), np.zeros(0))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in (i.astype("<i8"), x.astype("<f8"), codes, norms.astype("<f8")))], names=["block", "ids", "data", "codes", "norms"])
+        def block(m, x):
+            codes, norms, errors = beam_encode(x, books) if books is not None else (np.zeros(0, np.uint8), np.zeros(0), np.zeros(0))
+            ids, sizes = np.concatenate(m).astype("<i8"), np.array([len(i) for i in m], "<i4")
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in (ids, sizes, x.astype("<f8"), codes, norms.astype("<f8"), errors.astype("<f8")))], names=["block", "ids", "sizes", "data", "codes", "norms", "errors"])
 
         for rows in parts:
             if rows.num_rows:
-                ids.append(rows.column("vec_id").to_numpy())
+                members.extend(np.array(m, dtype=np.int64) for m in rows.column("members").to_pylist())
                 xs.append(matrix(rows.column("embedding")))
                 held += rows.num_rows
             while held >= size:
-                i, x = np.concatenate(ids), np.concatenate(xs)
-                yield block(i[:size], x[:size])
-                ids, xs, held, number = [i[size:]], [x[size:]], held - size, number + 1
+                x = np.concatenate(xs)
+                yield block(members[:size], x[:size])
+                members, xs, held, number = members[size:], [x[size:]], held - size, number + 1
         if held:
-            yield block(np.concatenate(ids), np.concatenate(xs))
+            yield block(members, np.concatenate(xs))
 
     return run
 
@@ -96,22 +100,40 @@ def _search(books: np.ndarray, k: int, reranked: int):
         for rows in parts:
             for r in range(rows.num_rows):
                 read = lambda name, kind: np.frombuffer(rows.column(name)[r].as_py(), dtype=kind)  # noqa: B023, E731
-                ids, query_ids = read("ids", "<i8"), read("query_ids", "<i8")
-                x, q = read("data", "<f8").reshape(len(ids), -1), read("query_data", "<f8").reshape(len(query_ids), -1)
-                codes, norms = read("codes", np.uint8).reshape(len(ids), -1), read("norms", "<f8")
+                ids, sizes, query_ids = read("ids", "<i8"), read("sizes", "<i4"), read("query_ids", "<i8")
+                x, q = read("data", "<f8").reshape(len(sizes), -1), read("query_data", "<f8").reshape(len(query_ids), -1)
+                codes, norms, errors = read("codes", np.uint8).reshape(len(sizes), -1), read("norms", "<f8"), read("errors", "<f8")
+                ends = np.cumsum(sizes)
+                heads = ids[ends - sizes]
+                keep, last = min(reranked, len(sizes)), min(k + 1, len(sizes))
                 out = []
                 for low in range(0, len(q), 128):
                     qs, own = q[low : low + 128], query_ids[low : low + 128]
                     score = np.repeat(norms[None, :].astype(np.float32), len(qs), axis=0)
+                    reach = np.full(len(qs), norms.max())
                     for m, book in enumerate(books):
                         lookup = (-2 * (qs @ book.T)).astype(np.float32)
+                        reach += np.abs(lookup).max(axis=1)
                         score += lookup[:, codes[:, m]]
-                    score[ids[None, :] == own[:, None]] = np.inf
-                    keep = min(reranked, len(ids))
                     best = np.argpartition(score, keep - 1, axis=1)[:, :keep]
-                    exact = np.sqrt(((x[best] - qs[:, None, :]) ** 2).sum(axis=2))
+                    # What single precision may have added to a score, from the largest sum it can have passed.
+                    slack = reach * ((len(books) + 4) * 2.0**-22)
                     for row in range(len(qs)):
-                        cand, dist = ids[best[row]], exact[row]
+                        exact = lambda at: np.sqrt(((x[at] - qs[row]) ** 2).sum(axis=1))  # noqa: B023, E731
+                        at = best[row]
+                        dist = exact(at)
+                        bound = np.partition(dist, last - 1)[last - 1] if keep >= last else np.inf
+                        least = np.sqrt(np.maximum(score[row] + (qs[row] @ qs[row] - slack[row]), 0)) - errors
+                        # Written so that a score that is no number stays a candidate.
+                        open_ = ~(least > bound * (1 + 1e-9) + 1e-12)
+                        open_[at] = False
+                        more = np.flatnonzero(open_)
+                        at, dist = np.concatenate([at, more]), np.concatenate([dist, exact(more)])
+                        # One class more than asked for, as the query's own id may be the whole of one.
+                        order = np.lexsort((heads[at], dist))[: k + 1]
+                        at, dist = at[order], dist[order]
+                        cand = np.concatenate([ids[ends[i] - sizes[i] : ends[i]] for i in at])
+                        dist = np.repeat(dist, sizes[at])
                         other = cand != own[row]
                         cand, dist = cand[other], dist[other]
                         order = np.lexsort((cand, dist))[:k]
@@ -143,11 +165,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
         return spark.createDataFrame([], schema)
     d, total = lengths[0]["d"], lengths[0]["count"]
     data, asked = (df.where(F.size("embedding") == d) for df in (data, asked))
-    books = fit_codebooks(sample_matrix(data, "embedding", "vec_id", SAMPLE_ROWS))
-    block = "block long, ids binary, data binary, codes binary, norms binary"
-    coded = data.repartition(max(1, -(-total // BLOCK_ROWS)), "vec_id").mapInArrow(_blocks(books, BLOCK_ROWS), block)
+    # Of equal vectors the k + 1 smallest ids can be wanted: k, and the query's own.
+    same = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
+    first = data.withColumn("place", same).where(F.col("place") <= k + 1)
+    classes = first.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("members")).withColumn("vec_id", F.col("members")[0])
+    books = fit_codebooks(sample_matrix(classes, "embedding", "vec_id", SAMPLE_ROWS))
+    block = "block long, ids binary, sizes binary, data binary, codes binary, norms binary, errors binary"
+    coded = classes.repartition(max(1, -(-total // BLOCK_ROWS)), "vec_id").select("members", "embedding").mapInArrow(_blocks(books, BLOCK_ROWS), block)
     coded = written(coded, "aq-blocks")
-    asked = asked.repartition(max(1, -(-asked.count() // QUERY_ROWS)), "vec_id").mapInArrow(_blocks(None, QUERY_ROWS), block)
+    asked = asked.repartition(max(1, -(-asked.count() // QUERY_ROWS)), "vec_id").select(F.array("vec_id").alias("members"), "embedding").mapInArrow(_blocks(None, QUERY_ROWS), block)
     asked = written(asked.select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data")), "aq-queries")
 
     # Every block of queries meets every block of rows: the query set against all rows.

@@ -258,3 +258,20 @@ def test_additive_ann(spark):
         hits += len({v for _, v, _ in near} & set(np.argsort(d)[:10].tolist()))
     assert hits >= 0.9 * 90
     assert additive_ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_additive_ann_large_groups(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 16))
+    order = rng.permutation(6000)
+    x[order[:2000]] = x[order[0]]
+    x[order[2000:4000]] = x[order[2000]] + rng.normal(size=(2000, 16)) * 1e-4
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(6000)], "vec_id long, embedding array<double>")
+    asked = sorted(order[[0, 1, 2000, 2001, 4000, 4001, 4002]].tolist())
+    found = {}
+    for r in additive_ann.nearest(df, df.where(f"vec_id in ({', '.join(map(str, asked))})")).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert [v for _, v in sorted(found[q])] == np.lexsort((np.arange(6000), d))[:10].tolist()
