@@ -2,7 +2,8 @@
 
 Each page is parsed into a tree. Container elements are hashed as subtrees, and
 Spark counts per host on how many pages of different text each subtree stands;
-those that recur on many are the site's template and are deleted. What is left
+those that recur are the site's template and are deleted. Inside an article,
+pages with the same first block count once, as edited copies share their parts. What is left
 of the article, without elements that say by tag, role or class that they are
 not part of it, is the text.
 """
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import prepare, written
 
-#: A subtree is a template if it stands on this many pages of a host and on this share of them.
-MIN_PAGES, MIN_SHARE = 3, 0.3
+#: A subtree is a template if it stands on this many pages of a host, however large: templates rotate.
+MIN_PAGES = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
@@ -118,22 +119,28 @@ def subtree_hash(page: str, node: Node) -> int:
     return int.from_bytes(hashlib.blake2b(page[node.start : node.end].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def subtrees(page: str, root: Node) -> set[int]:
-    """Hashes of the container elements that a template may consist of: not those that hold the article."""
-    nodes, above, holds = [root], [-1], set()
+def subtrees(page: str, root: Node) -> dict[int, bool]:
+    """Hashes of the container elements that a template may consist of, not those that hold the article; whether they stand in an article."""
+    nodes, above, holds, inside = [root], [-1], set(), [False]
     at = 0
     while at < len(nodes):
         for c in nodes[at].children:
             if isinstance(c, Node) and c.tag not in _INLINE and c.tag not in _RAW and c.tag != "head":
                 nodes.append(c)
                 above.append(at)
+                inside.append(inside[at] or nodes[at].tag == "article")
         if nodes[at].tag in _ROOTS:
             up = at
             while up >= 0 and up not in holds:
                 holds.add(up)
                 up = above[up]
         at += 1
-    return {subtree_hash(page, n) for i, n in enumerate(nodes) if n.tag in _CONTAINERS and i not in holds}
+    found: dict[int, bool] = {}
+    for i, n in enumerate(nodes):
+        if n.tag in _CONTAINERS and i not in holds:
+            h = subtree_hash(page, n)
+            found[h] = found.get(h, False) or inside[i]
+    return found
 
 
 def main_text(page: str, root: Node, templates: set[int] = frozenset()) -> str:
@@ -198,10 +205,9 @@ def _page_subtrees(parts):
             page = page or ""
             root = parse(page)
             text = main_text(page, root)
-            digest = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            whole, head = (int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in (text, text.partition("\n")[0]))
             host = host_of(url)
-            out.append((page_id, host, None, digest))
-            out.extend((page_id, host, h, digest) for h in subtrees(page, root))
+            out.extend((page_id, host, h, head if inside else whole) for h, inside in subtrees(page, root).items())
         if out:
             c = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64())], names=["page_id", "host", "subtree", "content"])
@@ -216,14 +222,12 @@ def _extract(parts):
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def site_templates(seen: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) that stand on many pages of different text of their host."""
-    pages = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = seen.where("subtree is not null").select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(pages, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+def site_templates(seen: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, subtree) that stand on some pages of different text of their host."""
+    return seen.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per input row: ``page_id``, ``url``, ``text``, ``n_chars``.
 
     Null html gives an empty text, a null url counts as one more host; repeated
@@ -234,7 +238,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     prepare(pages.sparkSession)
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     seen = written(pages.mapInArrow(_page_subtrees, "page_id long, host string, subtree long, content long"), "html-subtrees")
-    templates = site_templates(seen, min_pages, min_share)
-    deleted = seen.where("subtree is not null").join(templates, ["host", "subtree"]).groupBy("page_id").agg(F.collect_set("subtree").alias("deleted"))
+    templates = site_templates(seen, min_pages)
+    deleted = seen.join(templates, ["host", "subtree"]).groupBy("page_id").agg(F.collect_set("subtree").alias("deleted"))
     texts = pages.join(deleted, "page_id", "left").mapInArrow(_extract, "page_id long, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -165,6 +165,17 @@ def test_html_extraction(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_html_rotating_templates_on_a_large_host(spark):
+    boxes = [f"<div class='x{k}'><p>Box {k} of the site</p></div>" for k in range(40)]
+    pages = [(i, f"http://a.example/{i}", f"<body>{boxes[i % 40]}<article><h1>T{i}</h1><p>Text {i}</p>{boxes[(i + 7) % 40]}</article></body>") for i in range(400)]
+    bare = [(500 + i, f"http://b.example/{i}", f"<body>{boxes[i % 40]}<p>Bare {i}</p></body>") for i in range(400)]
+    copies = [(1000 + i, f"http://c.example/{i}", f"<body><article><h1>Same</h1><p>Edited {i}</p><ul><li>a</li><li>b</li></ul></article></body>") for i in range(9)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages + bare + copies, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\nText {i}" for i in range(400))
+    assert all(got[500 + i] == f"Bare {i}" for i in range(400))
+    assert all(got[1000 + i] == f"Same\nEdited {i}\na\nb" for i in range(9))
+
+
 def test_secret_scan(spark):
     rng = random.Random(9)
     texts = _odd(rng) + [
