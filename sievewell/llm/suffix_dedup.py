@@ -188,7 +188,7 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     return whole.union(in_cells).union(in_windows)
 
 
-def _keep(window: int, as_text: bool):
+def _keep(window: int, as_text: bool, over_words: int):
     def run(parts):
         for rows in parts:
             out = []
@@ -205,6 +205,7 @@ def _keep(window: int, as_text: bool):
                         high = max(high, end)
                 if high >= 0:
                     spans.append((low, high))
+                spans = [(a, b) for a, b in spans if b - a >= WINDOW or len(raw[a:b].split()) > over_words]
                 at = 0
                 for a, b in spans:
                     kept.append(raw[at:a])
@@ -220,13 +221,14 @@ def _keep(window: int, as_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, as_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, as_text: bool = False, carry: tuple[str, ...] = (), over_words: int = 0) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` and the carried columns.
 
     ``kept`` is binary, or with ``as_text`` a string without the characters that a cut has halved.
 
     Every byte goes that a ``window``-byte string covers which starts anywhere else,
     in the same text or another, judged on the input. Matches never cross texts.
+    With ``over_words``, a stretch of such bytes below 400 goes only if it has more words.
     Null and short texts are kept as they are; repeated rows repeat each other, so
     their long parts go from each; rows are known by a hash of id and text, so that
     rows without id and different texts of one id are kept apart; columns that are
@@ -237,4 +239,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeated_windows(texts.select("row", "text"), window).groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("found"))
     joined = texts.join(found, "row", "left").select("doc_id", "text", "found", *carry)
     carried = "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in carry)
-    return joined.mapInArrow(_keep(window, as_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{carried}")
+    return joined.mapInArrow(_keep(window, as_text, over_words), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{carried}")

@@ -30,3 +30,16 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert set(kept["repeats"]) == set(kept["near_duplicates"]) and passage[50:300] not in kept["repeats"][202]
     assert "abcdefgh" not in kept["secrets"][204] and kept["secrets"][5] == clean[5]
     assert {r.doc_id for r in out.collect()} == set(kept["secrets"])
+
+
+def test_repeats_catch_51_short_words(spark):
+    rng = random.Random(2)
+    text = lambda n, size: " ".join("".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(n))
+    passage, short = text(51, 4), text(30, 9)
+    assert len(passage) < 300 < 400 and 220 < len(short) < 400
+    parts = [(text(70, 6) + "\n", "\n" + text(70, 6)) for _ in range(4)]
+    rows = [(i, a + (passage if i < 2 else short) + b) for i, (a, b) in enumerate(parts)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, docs, "").collect()}
+    assert all(kept[i] == parts[i][0][:-1] + parts[i][1][1:] for i in (0, 1))
+    assert all(kept[i] == rows[i][1] for i in (2, 3))
