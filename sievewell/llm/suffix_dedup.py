@@ -1,14 +1,12 @@
 """Exact substring dedup: which 400-byte strings start anywhere else.
 
-Sorting all suffixes needs many bytes of disk for each byte of text. As in
-external induced sorting, only sampled suffixes are sorted and the others are
-induced from them, recursively: each window has an anchor, chosen by its content
-alone, and so equal windows meet under equal anchors. What is carried with an
-anchor is the run of windows it stands for. Runs of equal content form a class;
-classes under one anchor are told apart by sorting; where they differ, the run
-is cut into cells of fewer windows, whose common bytes are their anchors, and
-so on down to single windows. All sorting is Spark's own external sorting and
-hashing by key, which spill to disk; no key's rows have to fit a task's memory.
+Anchored window hashing, not suffix sorting: no order of suffixes and no common
+prefixes are kept. Each window has an anchor, chosen by its content alone, and so
+equal windows meet under equal anchors. What is carried with an anchor is the run
+of windows it stands for. Runs of equal content hash form a class; where classes
+under one anchor differ, the run is cut into cells of fewer windows, whose common
+bytes are their anchors, and those into single windows. Grouping is Spark's own,
+which spills to disk; no key's rows have to fit a task's memory.
 """
 
 from __future__ import annotations
