@@ -7,13 +7,21 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Ids that are broadcast at most; more are joined by a shuffle of both sides.
+BROADCAST_IDS = 1_000_000
+#: Rows of an Arrow batch, where the session leaves Spark's default: a batch of very long texts must fit a worker.
+BATCH_ROWS = 2000
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Python workers must import this package, wherever the driver was started."""
+    """Python workers must import this package, wherever the driver was started; they get batches of bounded size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _REPO not in paths:
@@ -22,9 +30,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
+    """The shared folder the cluster names; a local one only in local mode, where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"sievewell-{os.getuid()}")
     return base.rstrip("/") + "/sievewell"
 
@@ -54,5 +64,10 @@ def release(*tables: DataFrame) -> None:
         spark._jvm.System.gc()
 
 
+def of_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``df`` joined with a written table that has few columns by ``key``: ids are broadcast if a count allows it, else both sides are shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepare, written
+from .common import prepare
 from .texthash import batches, token_hashes
 
 BUCKETS, DIMENSIONS, REACH = 1 << 14, 32, 2
@@ -106,19 +106,20 @@ def _pool(part, vectors, weights):
     return np.column_stack([centre, np.sqrt(np.maximum(0, square - centre**2)), weighted, near, length, np.log1p(effective), np.log1p(n), filled]).astype(np.float32)
 
 
-def features(docs: DataFrame, vectors: np.ndarray, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(doc_id, x array<float>) of every row."""
-    spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((vectors, weights))
+def _batches(rows, vec, wts):
+    """Slices of a batch (id, text, ...) with the features of their texts."""
+    for low, part in batches(rows.column(1).to_pylist()):
+        yield rows.slice(low, len(part)), _pool(part, vec, wts)
+
+
+def features(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, x array<float>) of every row, with broadcast vectors and weights."""
 
     def run(parts):
-        vec, wts = shared.value
         for rows in parts:
-            ids = rows.column(0)
-            for low, part in batches(rows.column(1).to_pylist()):
-                x = _pool(part, vec, wts)
+            for some, x in _batches(rows, *shared.value):
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(low, len(part)), flat], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([some.column(0), flat], names=["doc_id", "x"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<float>")
 
@@ -171,15 +172,22 @@ class Network:
         return 1 / (1 + np.exp(-np.clip((self._hidden(x) @ self.w2 + self.b2) / self.temperature, -30, 30)))
 
 
-def fit(known: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Network | None:
-    """A network from features and labels, on at most ``sample_rows`` documents chosen by the hash of their id."""
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, sample_rows: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``sample_rows`` labelled documents, chosen by the hash of their id; one row per id."""
     y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = known.join(F.broadcast(chosen), "doc_id").select("x", "y").limit(2 * sample_rows).collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, shared, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Network | None:
+    """A network from labelled documents, their rows in the order of ids, so that it does not depend on the partitioning."""
+    sample = labelled(docs, labels, label_col, id_col, text_col, sample_rows)
+    y = dict(sample.select("doc_id", "y").collect())
+    rows = sorted(features(sample, shared).collect())
     if not rows:
         return None
-    x, t = np.array([r[0] for r in rows], dtype=np.float64), np.array([r[1] for r in rows], dtype=np.float64)
-    return Network(x, t)
+    return Network(np.array([r["x"] for r in rows], dtype=np.float64), np.array([y[r["doc_id"]] for r in rows], dtype=np.float64))
 
 
 def held_out(doc_id) -> F.col:
@@ -187,25 +195,28 @@ def held_out(doc_id) -> F.col:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per input row: ``doc_id``, ``held_out``, ``score`` (0 to 1, higher: label 1 likelier), ``predicted``.
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: ``doc_id``, ``held_out``, ``score`` (0 to 1, higher: label 1 likelier), ``predicted`` and the carried columns.
 
     Labels of held-out rows are never read. Null and empty texts are scored as
     texts without words; repeated rows are scored each; an id labelled several
-    times counts with its largest label; null or other labels are ignored. Without
-    any label every score is 0.5. Columns other than id and text are not read.
+    times counts with its largest label, an id with several texts is learned from
+    its smallest; null or other labels are ignored. Without any label every score
+    is 0.5. Columns that are neither id, text nor carried are not read.
     """
-    vectors, weights = word_vectors(docs, text_col)
-    known = written(features(docs, vectors, weights, id_col, text_col), "quality-features")
-    network = fit(known, labels.where(~held_out(F.col(id_col))), label_col, id_col, sample_rows)
+    spark = prepare(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(word_vectors(docs, text_col))
+    network = fit(docs, labels.where(~held_out(F.col(id_col))), shared, label_col, id_col, text_col, sample_rows)
 
     def run(parts):
         for rows in parts:
-            if not rows.num_rows:
-                continue
-            x = rows.column("x").flatten().to_numpy().reshape(rows.num_rows, -1).astype(np.float64)
-            s = network.scores(x) if network else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
-
-    scored = known.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+            for some, x in _batches(rows, *shared.value):
+                s = network.scores(x.astype(np.float64)) if network else np.full(len(x), 0.5)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(s), *some.columns[2:]], names=["doc_id", "score", *some.schema.names[2:]])
+
+    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(carry)]
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept)
+    schema = ", ".join(["doc_id long, score double", *(f"kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))])
+    scored = read.mapInArrow(run, schema)
+    carried = [F.col(f"kept_{i}").alias(c) for i, c in enumerate(carry)]
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carried)

@@ -1,13 +1,15 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents become sets of word shingles. Equal sets collapse to one class. A set
-is cut into P buckets by shingle hash; two sets within the similarity differ in
-at most D shingles, so of P = D + 3 buckets three at least are equal. The bucket
-contents are the tokens of the matrix: groups are certified components of
-similar classes, a group's token union is the distinct tokens of its members,
-and a group is opened for a query only if their overlap reaches the bound.
-Opened members are compared exactly. Only components are asked for, so a group
-whose members are already linked is never compared within itself.
+Documents become sets of word shingles; equal sets collapse to one class. A share
+of all shingles, chosen by hash, is looked up first: those that only one class
+has lie outside every intersection, and most sets have too many of them to link
+with any other and are done. The others are cut into buckets by shingle hash. Two sets within the similarity differ in at most D
+shingles, so that with more buckets than D some have equal contents. These are
+the tokens of the matrix: groups are certified components of similar classes, a
+group's token union is the distinct tokens of its members, and a group is opened
+for a query only if their overlap reaches the bound. Opened members are compared
+exactly. Only components are asked for, so a group whose members are already
+linked is never compared within itself.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import prepare, release, written
+from .common import of_ids, prepare, release, written
 from .components import connected_components
 from .texthash import batches, mix, shingle_sets
 
@@ -24,6 +26,8 @@ _U = np.uint64
 _SUMMARY = "doc_id long, n_shingles long, d1 long, d2 long"
 #: Digests that a task remembers, so that copies which meet in it are not indexed again.
 _REMEMBERED = 1_000_000
+#: Looked-up shingles that a task combines before they are shuffled: a frequent one leaves one row of each chunk.
+_CHUNK = 1 << 20
 
 
 def _bands(top: int, num: int, den: int) -> list[int]:
@@ -34,8 +38,17 @@ def _bands(top: int, num: int, den: int) -> list[int]:
     return [*edges, max(edges[-1] + 1, (edges[-1] - 1) * den // num + 1)]
 
 
+def _looked_up(num, den):
+    """The share of shingles that is looked up: more than may be missing in a partner, so that a set of which hardly any other has a part is told by it."""
+    return min(1.0, 1.5 * (den - num) / den + 0.02)
+
+
 def _bucket_tokens(hashes, at, num, den):
-    """The tokens of each set under the schemes of its own band and the one below."""
+    """The tokens of each set under the schemes of its own band and the one below.
+
+    A set with D + 2 filled buckets has two of them in common with any partner, so
+    only sets with fewer give tokens for empty buckets too.
+    """
     n = np.diff(at)
     edges = np.array(_bands(int(n.max(initial=1)), num, den), dtype=np.int64)
     band = np.searchsorted(edges, n, side="right") - 1
@@ -45,7 +58,7 @@ def _bucket_tokens(hashes, at, num, den):
     for down in (0, 1):
         scheme = band - down
         most = (edges[np.clip(scheme + 1, 0, None)] - 1) * (den - num) // num
-        parts = np.where((scheme >= 0) & (n > 0) & (most > 0), most + 3, 0)
+        parts = np.where((scheme >= 0) & (n > 0) & (most > 0), most + most // 4 + 8, 0)
         of = parts[docs]
         use = of > 0
         if not use.any():
@@ -62,8 +75,8 @@ def _bucket_tokens(hashes, at, num, den):
         filled = np.zeros(first[-1], dtype=bool)
         filled[cells] = True
         owner = np.repeat(np.arange(len(n)), parts)
-        empty = np.bincount(owner[~filled], minlength=len(n))
-        emit = filled | (empty[owner] >= 2)
+        few = np.bincount(owner[filled], minlength=len(n)) < most + 2
+        emit = filled | few[owner]
         where = np.arange(first[-1]) - first[owner]
         token = mix(total + mix(where.astype(np.uint64) * _U(0x8EBC6AF09C88C6E3) + scheme[owner].astype(np.uint64)))
         values.append(token[emit])
@@ -92,27 +105,48 @@ def _summaries(k):
     return run
 
 
-def _tokens(k, num, den):
-    """(token, class digest) of every set; copies within a task only once."""
+def _lookups(k, num, den):
+    """Rows (kind, key, cls, lonely): kind 0 a looked-up shingle and the one class of the chunk that has it, or null for several; kind 1 a class and how many of its looked-up shingles no other of the chunk has."""
+    below = int(_looked_up(num, den) * 2**63)
+
+    def combined(held):
+        tokens, cls, classes = (np.concatenate(x) for x in zip(*held))
+        once, of, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        alone = times[of] == 1
+        classes = np.unique(classes)
+        lonely = np.bincount(np.searchsorted(classes, cls), weights=alone, minlength=len(classes)).astype(np.int32)
+        several = once[times > 1]
+        key = np.concatenate([tokens[alone], several, classes])
+        ends = len(key) - len(classes)
+        kind, count, who, unknown = np.zeros(len(key), np.int8), np.zeros(len(key), np.int32), key.copy(), np.zeros(len(key), bool)
+        kind[ends:], count[ends:], unknown[ends - len(several) : ends] = 1, lonely, True
+        who[: ends - len(several)] = cls[alone]
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(who, mask=unknown), pa.array(count)], names=["kind", "key", "cls", "lonely"])
 
     def run(parts):
         seen: set[int] = set()
+        held, size = [], 0
         for rows in parts:
             for _, part in batches(rows.column(0).to_pylist()):
                 hashes, at = shingle_sets(part, k)
                 digest = _digests(hashes, at)[0]
-                fresh = np.zeros(len(part), dtype=bool)
+                n = np.diff(at)
+                fresh = n > 0
                 for i, d in enumerate(digest.tolist()):
-                    if d not in seen:
+                    if d in seen:
+                        fresh[i] = False
+                    else:
                         seen.add(d)
-                        fresh[i] = True
                 if len(seen) > _REMEMBERED:
                     seen.clear()
-                n = np.where(fresh, np.diff(at), 0)
-                keep = np.repeat(fresh, np.diff(at))
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                tokens, owners = _bucket_tokens(hashes[keep], bounds, num, den)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(digest, np.diff(owners)))], names=["token", "cls"])
+                take = np.repeat(fresh, n) & (mix(hashes.view(np.uint64) ^ _U(0x1B873593)) >> _U(1) < _U(below))
+                held.append((hashes[take], np.repeat(digest, n)[take], digest[fresh]))
+                size += int(take.sum())
+                if size >= _CHUNK:
+                    yield combined(held)
+                    held, size = [], 0
+        if held:
+            yield combined(held)
 
     return run
 
@@ -123,14 +157,30 @@ def _sets(k):
             ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
             for first, part in batches(texts):
                 hashes, at = shingle_sets(part, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(part)], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes))], names=["doc_id", "shingles"])
+                sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(part)], pa.int64()), *map(pa.array, _digests(hashes, at)), sets], names=["rep", "d1", "d2", "shingles"])
+
+    return run
+
+
+def _tokens(num, den):
+    """(node, n, reach, lonely, shingles) to (token, node, n, reach, lonely)."""
+
+    def run(parts):
+        for rows in parts:
+            if not rows.num_rows:
+                continue
+            at = np.concatenate([[0], np.cumsum(rows.column("n").to_numpy())])
+            tokens, owners = _bucket_tokens(rows.column("shingles").flatten().to_numpy(), at, num, den)
+            each = pa.array(np.repeat(np.arange(rows.num_rows), np.diff(owners)))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), *(rows.column(c).take(each) for c in ("node", "n", "reach", "lonely"))], names=["token", "node", "n", "reach", "lonely"])
 
     return run
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of candidate pairs (u, v), those whose sets reach the similarity exactly."""
-    one = lambda c: sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}"))
+    one = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
     joined = pairs.join(one("u"), "u").join(one("v"), "v").withColumn("both", F.size(F.array_intersect("su", "sv")).cast("long"))
     return joined.where(den * F.col("both") >= num * (F.size("su") + F.size("sv") - F.col("both"))).select("u", "v")
 
@@ -142,8 +192,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least ``similarity`` (a fraction as numerator, denominator).
     ``component_id`` is the smallest id reachable by links, the own id included.
 
-    Null or empty texts have an empty set and link with nothing; repeated rows of
-    one id count once each; other columns are not read; a null id links with nothing.
+    Null or empty texts have an empty set and link with nothing; equal and repeated
+    rows are one class; rows of one id with different texts are told apart; other
+    columns are not read; a null id links with nothing and has a null component.
     An empty table gives an empty result. No group is capped or sampled.
     """
     spark = prepare(docs.sparkSession)
@@ -151,66 +202,79 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = written(texts.mapInArrow(_summaries(shingle_words), _SUMMARY), "tg-sets-summary")
 
-    # Classes of equal sets; only the smallest id of each goes on.
+    # Classes of equal sets; of each only the row of the smallest id goes on.
     full = known.where("n_shingles > 0 and doc_id is not null")
-    classes = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "tg-classes")
-    by_token = W.partitionBy("token")
-    tokens = texts.where("doc_id is not null").select("text").mapInArrow(_tokens(shingle_words, num, den), "token long, cls long")
-    met = tokens.withColumn("first", F.min("cls").over(by_token)).withColumn("last", F.max("cls").over(by_token)).where("first <> last")
-    met = written(met.select("token", "cls").distinct(), "tg-met")
-    shared = met.join(classes.select(F.col("d1").alias("cls"), "rep"), "cls").select("token", "rep")
-    shared = written(shared, "tg-postings")
-    release(met)
-
-    # Shingles that only one of these classes has lie outside every intersection: a set of n with u of
-    # them reaches a partner of at most ``reach`` shingles, as both / (n + m - both) >= num / den.
-    ids = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles array<long>")
-    sets = written(sets, "tg-sets")
-    once = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
-    stats = sets.select("rep", F.size("shingles").cast("long").alias("n")).join(once.groupBy("rep").agg(F.count("*").alias("u")), "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    reach = F.floor((F.col("n") - F.col("u")) * (num + den) / num).cast("long") - F.col("n") + 1
-    stats = written(stats.withColumn("reach", reach).where(den * (F.col("n") - F.col("u")) >= num * F.col("n")), "tg-stats")
-    live = shared.join(stats, "rep").withColumn("least", F.min("n").over(by_token)).where("least <= reach").drop("least")
-    live = written(live, "tg-live")
-    release(shared, stats)
+    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
+    turn = F.row_number().over(W.partitionBy("rep").orderBy("d1", "d2"))
+    classes = written(classes.withColumn("node", F.when(turn == 1, F.col("rep")).otherwise(F.xxhash64("d1", "d2"))), "tg-classes")
+
+    # How many looked-up shingles a class has alone. What a chunk has combined is one row of it, so frequent shingles are few rows.
+    lookups = texts.where("doc_id is not null").select("text").mapInArrow(_lookups(shingle_words, num, den), "kind tinyint, key long, cls long, lonely int")
+    of_key = W.partitionBy("kind", "key")
+    met = lookups.select("*", (F.max(F.col("cls").isNull()).over(of_key) | (F.min("cls").over(of_key) != F.max("cls").over(of_key))).alias("several")).where("cls is not null")
+    met = met.where("kind = 1 or several").select("cls", "kind", F.when(F.col("kind") == 1, F.col("lonely")).otherwise(-1).alias("lonely"))
+    counts = met.groupBy(F.col("cls").alias("d1")).agg(F.floor(F.sum("lonely") / F.sum("kind")).alias("u"))
+    judged = classes.join(counts, "d1", "left").withColumn("u", F.greatest(F.coalesce("u", F.lit(0)), F.lit(0)))
+    judged = judged.where(f"u <= n - (n * {num} + {den - 1}) div {den} and n * {den - num} div {num} >= 1")
+    # A set of n with u shingles of its own reaches a partner of at most ``reach``, as both / (n + m - both) >= num / den.
+    judged = judged.select("node", "rep", "d1", "d2", "n", F.expr(f"cast(floor((n - u) * {num + den} / {num}) as long) - n + 1").alias("reach"), (F.col("u") / F.col("n")).alias("lonely"))
+    judged = written(judged, "tg-judged")
+    mine = of_ids(texts, judged.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = mine.mapInArrow(_sets(shingle_words), "rep long, d1 long, d2 long, shingles array<long>").join(judged, ["rep", "d1", "d2"])
+    sets = written(sets.select("node", "n", "reach", "lonely", "shingles"), "tg-sets")
+    if sets.count() > judged.count():
+        repeated, sets = sets, written(sets.dropDuplicates(["node"]), "tg-sets")
+        release(repeated)
+    release(judged)
+
+    # Tokens of several classes, each with its most typical class; frequent tokens are joined, not windowed, so that skew can be split.
+    tokens = written(sets.mapInArrow(_tokens(num, den), "token long, node long, n long, reach long, lonely double"), "tg-tokens")
+    several = tokens.groupBy("token").agg(F.min("n").alias("least"), F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct("lonely", "node")).alias("centre"))
+    several = several.where("low <> high").select("token", "least", F.col("centre.node").alias("centre"))
+    live = written(tokens.join(several, "token").where("least <= reach").select("token", "node", "n", "reach", "centre"), "tg-live")
+    release(tokens)
 
     # Groups: classes certified as linked to the most typical class of a token they share.
-    typical = F.struct(F.col("u") / F.col("n"), "rep")
-    stars = live.withColumn("centre", F.min(typical).over(by_token)["rep"]).where("rep <> centre")
-    stars = stars.groupBy(F.col("centre").alias("u"), F.col("rep").alias("v")).agg(F.count("*").alias("n")).where("n >= 2").select("u", "v")
+    stars = live.where("node <> centre").groupBy(F.col("centre").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("times")).where("times >= 2").select("u", "v")
     stars = written(stars, "tg-stars")
     links = written(_linked(stars, sets, num, den), "tg-links")
     release(stars)
     groups = connected_components(links)
 
     # The matrix: tokens by group. Only tokens that several groups hold can bound anything from below.
-    matrix = live.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("grp", F.coalesce("component", "rep")).drop("component")
-    matrix = matrix.withColumn("low", F.min("grp").over(by_token)).withColumn("high", F.max("grp").over(by_token)).where("low <> high").drop("low", "high")
-    matrix = written(matrix, "tg-matrix")
+    grouped = live.drop("centre").join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
+    open_ = grouped.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
+    matrix = written(grouped.join(open_, "token", "left_semi"), "tg-matrix")
     release(live)
     if not matrix.isEmpty():
         union = matrix.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("reach").alias("farthest"))
-        near = matrix.join(union, "token").where("other < grp and least <= reach and n <= farthest").groupBy("rep", "other").agg(F.count("*").alias("overlap"), F.min("least").alias("least"), F.first("n").alias("n"), F.first("reach").alias("reach")).where("overlap >= 2")
-        of_group = written(matrix.select(F.col("grp").alias("other"), F.col("rep").alias("member"), F.col("n").alias("m"), F.col("reach").alias("far")).distinct(), "tg-members")
+        near = matrix.join(union, "token").where("other < grp and least <= reach and n <= farthest").groupBy("node", "other").agg(F.count("*").alias("overlap"), F.min("least").alias("least"), F.first("n").alias("n"), F.first("reach").alias("reach")).where("overlap >= 2")
+        of_group = written(matrix.select(F.col("grp").alias("other"), F.col("node").alias("member"), F.col("n").alias("m"), F.col("reach").alias("far")).distinct(), "tg-members")
         sizes = of_group.groupBy("other").agg(F.count("*").alias("members"))
         near = written(near.drop("overlap").join(sizes, "other"), "tg-near")
         # The bound proper, for groups of several: how much of the query their union of shingles can hold.
         large = near.where("members > 1")
-        held = of_group.join(large.select("other").distinct(), "other", "left_semi").select("other", F.col("member").alias("rep")).join(sets, "rep").select("other", F.explode("shingles").alias("shingle")).distinct()
-        asked = large.join(sets, "rep").select("rep", "other", F.explode("shingles").alias("shingle"))
-        missing = asked.join(held, ["other", "shingle"], "left_anti").groupBy("rep", "other").agg(F.count("*").alias("out"))
-        bound = large.join(missing, ["rep", "other"], "left").withColumn("o", F.col("n") - F.coalesce("out", F.lit(0)))
+        contents = sets.select("node", "shingles")
+        held = of_group.join(large.select("other").distinct(), "other", "left_semi").select("other", F.col("member").alias("node")).join(contents, "node").select("other", F.explode("shingles").alias("shingle")).distinct()
+        asked = large.join(contents, "node").select("node", "other", F.explode("shingles").alias("shingle"))
+        missed = asked.join(held, ["other", "shingle"], "left_anti").groupBy("node", "other").agg(F.count("*").alias("out"))
+        bound = large.join(missed, ["node", "other"], "left").withColumn("o", F.col("n") - F.coalesce("out", F.lit(0)))
         bound = bound.where(den * F.col("o") >= num * (F.col("n") + F.greatest(F.col("least") - F.col("o"), F.lit(0))))
-        opened = written(near.where("members = 1").select("rep", "other", "n", "reach").union(bound.select("rep", "other", "n", "reach")), "tg-opened")
-        pairs = opened.join(of_group, "other").where("n <= far and m <= reach").select(F.col("member").alias("u"), F.col("rep").alias("v"))
+        opened = written(near.where("members = 1").select("node", "other", "n", "reach").union(bound.select("node", "other", "n", "reach")), "tg-opened")
+        pairs = opened.join(of_group, "other").where("n <= far and m <= reach").select(F.col("member").alias("u"), F.col("node").alias("v"))
         pairs = written(pairs, "tg-pairs")
         release(near, of_group, opened)
         fewer, links = links, written(links.union(_linked(pairs, sets, num, den)), "tg-links")
+        release(groups)
         groups = connected_components(links)
         release(pairs, fewer)
     release(matrix, sets, links)
-    class_ids = classes.select("d1", "d2", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_component"))
-    narrow = known.select("doc_id", "n_shingles", "d1", "d2", (F.col("n_shingles") > 0).alias("some"))
-    out = narrow.where("some").join(class_ids, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
-    return out.union(narrow.where("not some").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = classes.join(groups, "node")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    class_ids = written(linked.join(least, "component").select("d1", "d2", "component_id"), "tg-class-ids")
+    release(groups)
+    # A class without links is its own component; its copies share its smallest id.
+    of_class = classes.select("d1", "d2", "rep").join(class_ids, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("class_component"))
+    lone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    some = known.where(~lone).join(of_class, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("class_component").alias("component_id"))
+    return some.union(known.where(lone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
