@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sievewell.llm import secret_scan
-from sievewell.llm.common import prepare, table, written
+from sievewell.llm.common import of_ids, prepare, release, table, written
 from sievewell.llm.packing import pack, token_pieces
 from sievewell.llm.quality import score_documents
 from sievewell.llm.suffix_dedup import remove_repeats
@@ -21,34 +21,44 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    scores = score_documents(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.where("predicted = 0").select("doc_id")
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that the quality classifier rejects go.
+
+    Each row is judged by its own text; null and empty texts as texts without words,
+    repeated rows alike. A null id is no matter. An empty table gives an empty one.
+    """
+    scores = score_documents(docs, table(spark, sf_dir, "labels"), carry=COLUMNS[1:])
+    return scores.where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays.
+
+    Rows without words or without id stay; of rows that repeat an id all stay or
+    none, as its component says. An empty table gives an empty one.
+    """
     prepare(spark)
     groups = jaccard_components(docs, shingle_words=5, similarity=(4, 5))
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = written(groups.where("doc_id <> component_id").select("doc_id"), "stage-gone")
+    return of_ids(docs.select(*COLUMNS), gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words, or of 400 bytes and more, that start elsewhere too go from every document; no document goes."""
+    """Passages of over 50 words, or of 400 bytes and more, that start elsewhere too go from every document; no document goes.
+
+    Null texts become empty ones; repeated rows repeat each other. An empty table gives an empty one.
+    """
     kept = remove_repeats(docs, window=REPEAT_BYTES, as_text=True, carry=("lang", "source"), over_words=REPEAT_WORDS)
     return kept.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark; rows without id are searched too, null texts become empty ones."""
     clean = secret_scan.redact(secret_scan.scan(docs, carry=("lang", "source")))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents, packed into sequences."""
+    """The token pieces of all documents, packed into sequences; an empty text is its end token alone."""
     return pack(token_pieces(docs))
 
 
@@ -61,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, over all of ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
