@@ -1,10 +1,11 @@
 """Secret scan over a trigram inverted index, with DataFrame functions only.
 
 Each rule's regular expression gives a Boolean query over trigrams that every
-match must contain. Postings (trigram, document) are kept for the trigrams that
-any rule asks for; intersecting them gives each rule's candidate documents, and
-only those are searched with the expression. A rule without mandatory trigrams
-searches every document.
+match must contain. The index is a written table of postings (trigram, document)
+for the trigrams that any rule asks for; it can be kept and searched again.
+Intersecting postings gives each rule's candidate documents, and only those are
+searched with the expression. A rule without mandatory trigrams searches every
+document.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re._constants as sre
 import re._parser as sre_parser
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import prepare
+from .common import of_ids, prepare, written
 
 
 @dataclass(frozen=True)
@@ -36,9 +37,10 @@ BASE_RULES = (
     Rule("hex", "[0-9a-f]{24,}"),
 )
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # One class of characters, as Java recurses for each turn of a repeated group.
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,500}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE_RULES + MORE_RULES
 _EXACT = 64  # strings that a part of an expression is expanded to at most
@@ -118,62 +120,68 @@ def trigram_postings(docs: DataFrame, id_col: str, text_col: str, trigrams: list
     return low.select("doc_id", F.explode(F.expr(f"filter(array({listed}), t -> contains(low, t))")).alias("trigram"))
 
 
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """The postings as a written table, for ``scan`` now or later. Rows without id have none."""
+    prepare(docs.sparkSession)
+    return written(trigram_postings(docs.where(F.col(id_col).isNotNull()), id_col, text_col, vocabulary(rules)), "secret-postings")
+
+
 def candidates(postings: DataFrame, rules=RULES) -> DataFrame:
-    """(doc_id, kinds): the rules whose query the postings of a document satisfy."""
-    trigrams = vocabulary(rules)
-    bit = F.create_map(*[x for i, t in enumerate(trigrams) for x in (F.lit(t), F.lit(1 << i).cast("long"))])
-    has = postings.select("doc_id", bit[F.col("trigram")].alias("bit")).groupBy("doc_id").agg(F.bit_or("bit").alias("bits"))
+    """(doc_id, kinds): the rules whose query the postings of a document satisfy; a document has at most as many postings as the vocabulary has trigrams."""
+    has = postings.groupBy("doc_id").agg(F.collect_set("trigram").alias("trigrams"))
     found = []
     for r in rules:
-        query = trigram_query(r.pattern)
-        if query:
-            ok = F.lit(True)
-            for clause in query:
-                any_of = F.lit(False)
-                for alternative in clause:
-                    mask = sum(1 << trigrams.index(t) for t in alternative)
-                    any_of = any_of | (F.col("bits").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
-                ok = ok & any_of
-            found.append(F.when(ok, F.lit(r.kind)))
+        if query := trigram_query(r.pattern):
+            holds = lambda alternative: f"size(array_except(array({', '.join(map(_quoted, alternative))}), trigrams)) = 0"
+            found.append(F.when(F.expr(" and ".join(f"({' or '.join(map(holds, clause))})" for clause in query)), F.lit(r.kind)))
     return has.select("doc_id", F.array_compact(F.array(*found)).alias("kinds")).where(F.size("kinds") > 0)
 
 
-def _spans(rule: Rule, order: int) -> Column:
+_FOUND = "array<struct<start:int,place:int,end:int,kind:string,m:string>>"
+
+
+def _running(array: str, step: str) -> str:
+    """Running values of an array of ints, as ``step`` joins ``s`` and ``y``, block by block: an array of n takes about n * sqrt(n) cheap steps and no copy of what is already joined.
+
+    ``transform(array(x), v -> ...)[0]`` names a value, so that it is computed once.
+    """
+    fold = lambda xs: f"aggregate({xs}, 0, (s, y) -> {step})"
+    return f"""transform(array({array}), d -> transform(array(cast(ceil(sqrt(size(d))) as int)), w ->
+        transform(array(transform(sequence(0, (size(d) - 1) div w), b -> slice(d, b * w + 1, w))), blocks ->
+        transform(array(transform(blocks, x -> {fold('x')})), totals ->
+        flatten(transform(blocks, (x, b) -> transform(array({fold('slice(totals, 1, b)')}), low ->
+            transform(x, (z, i) -> aggregate(slice(x, 1, i + 1), low, (s, y) -> {step})))[0])))[0])[0])[0])[0]"""
+
+
+def _spans(rule: Rule, order: int) -> str:
     """Leftmost non-overlapping matches in ``text``: the text split at them gives their places in code points."""
     pattern = _quoted(rule.pattern)
-    condition = rule.condition.replace("MATCH", "x.m").replace("PATTERN", pattern)
-    ms, segments = f"ms_{rule.kind}", f"split(text, {pattern}, -1)"
-    start = f"a.pos + length({segments}[i - 1])"
-    end = f"{start} + length({ms}[i - 1])"
-    steps = f"""aggregate(
-        sequence(1, size({ms})),
-        cast(struct(0 as pos, array() as out) as struct<pos:int,out:array<struct<start:int,place:int,end:int,kind:string,m:string>>>),
-        (a, i) -> struct({end} as pos, concat(a.out, array(struct({start} as start, {order} as place, {end} as end, '{rule.kind}' as kind, {ms}[i - 1] as m))) as out),
-        a -> filter(a.out, x -> {condition}))"""
-    none = "cast(array() as array<struct<start:int,place:int,end:int,kind:string,m:string>>)"
-    return F.expr(f"case when size(ms_{rule.kind}) > 0 then {steps} else {none} end")
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, carry: tuple[str, ...] = ()) -> DataFrame:
+    condition = rule.condition.replace("MATCH", "m").replace("PATTERN", pattern)
+    searched = f"array_contains(kinds, '{rule.kind}')" if trigram_query(rule.pattern) else "true"
+    steps = "zip_with(slice(segments, 1, size(ms)), ms, (s, m) -> length(s) + length(m))"
+    return f"""case when {searched} then transform(array(regexp_extract_all(text, {pattern}, 0)), ms -> case when size(ms) = 0 then cast(array() as {_FOUND}) else
+        transform(array(split(text, {pattern}, -1)), segments -> filter(zip_with({_running(steps, 's + y')}, ms,
+            (e, m) -> case when {condition} then struct(e - length(m) as start, {order} as place, e as end, '{rule.kind}' as kind, m as m) end), x -> x is not null))[0] end)[0]
+        else cast(array() as {_FOUND}) end"""
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, carry: tuple[str, ...] = (), index: DataFrame | None = None) -> DataFrame:
     """One row (doc_id, text, found and the carried columns) per input row; ``found`` is an array of (start, place, end, kind, m) by start, then rule.
 
     Offsets count code points, the end is exclusive. Null texts count as empty and
     hold nothing; repeated rows each give a row; a row without id has no postings
-    and is searched by every rule; other columns are not read; an empty table gives
-    an empty result.
+    and is searched by every rule; rows of one id are searched by the rules that any
+    of them asks for; other columns are not read; an empty table gives an empty
+    result. ``index`` is what ``build_index`` gave for the same texts.
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
-    named, nameless = texts.where("doc_id is not null"), texts.where("doc_id is null")
-    listed = candidates(trigram_postings(named, "doc_id", "text", vocabulary(rules)), rules)
+    if index is None:
+        index = build_index(texts, rules=rules)
+    listed = written(candidates(index, rules), "secret-candidates")
     every = F.array(*[F.lit(r.kind) for r in rules])
-    both = named.join(listed, "doc_id", "left").unionByName(nameless.withColumn("kinds", every))
-    for r in rules:
-        matches = F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))
-        if trigram_query(r.pattern):
-            matches = F.when(F.array_contains("kinds", r.kind), matches).otherwise(F.array().cast("array<string>"))
-        both = both.withColumn(f"ms_{r.kind}", matches)
-    spans = F.array_sort(F.concat(*[_spans(r, i) for i, r in enumerate(rules)]))
+    both = of_ids(texts, listed, "doc_id", "left").withColumn("kinds", F.when(F.col("doc_id").isNull(), every).otherwise(F.col("kinds")))
+    spans = F.expr(f"array_sort(concat({', '.join(_spans(r, i) for i, r in enumerate(rules))}))")
     return both.select("doc_id", "text", *carry, spans.alias("found"))
 
 
@@ -185,11 +193,16 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The scanned rows, without ``found``, with every found span replaced; overlapping spans are replaced together."""
-    kept = """aggregate(found, cast(struct(0 as pos, '' as out) as struct<pos:int,out:string>),
-        (a, x) -> struct(greatest(a.pos, x.end) as pos,
-            case when x.start >= a.pos then concat(a.out, substring(text, a.pos + 1, x.start - a.pos), {mark}) else a.out end as out),
-        a -> concat(a.out, substring(text, a.pos + 1)))""".format(mark=_quoted(mark))
+    """The scanned rows, without ``found``, with every found span replaced; overlapping spans are replaced together.
+
+    The text is cut into characters once; each span that none before it reaches
+    gives the characters since their ends, and a mark.
+    """
+    reached = _running("transform(found, x -> x.end)", "greatest(s, y)")
+    kept = f"""transform(array(split(text, '')), chars -> transform(array({reached}), ends -> concat(
+        array_join(transform(found, (x, i) -> transform(array(case when i = 0 then 0 else ends[i - 1] end), low ->
+            case when x.start >= low then concat(array_join(slice(chars, low + 1, x.start - low), ''), {_quoted(mark)}) else '' end)[0]), ''),
+        array_join(slice(chars, ends[size(ends) - 1] + 1, size(chars)), '')))[0])[0]"""
     return scanned.withColumn("text", F.expr(f"case when size(found) = 0 then text else {kept} end")).drop("found")
 
 
