@@ -39,8 +39,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeats(table(spark, sf_dir, "documents"), window=400)
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = remove_repeats(table(spark, sf_dir, "documents"), window=400, passage_counts=True)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_bytes")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ from .texthash import prefix_sums
 
 WINDOW = 400
 CELL = 16
+#: A passage is a repeat of more words, found by windows of fewer bytes: over 50 ordinary words reach them.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 220
 #: Bits of the filter that spares texts without open runs a shuffle; its size is fixed.
 FILTER_BITS = 1 << 22
 _U = np.uint64
@@ -143,19 +145,19 @@ def _bits(rows: DataFrame) -> np.ndarray:
 
 
 def _maybe(bits):
-    """Rows (row, text, slot) whose slot is filled."""
+    """Rows (row, bytes, slot) whose slot is filled."""
 
     def run(parts):
         filled = bits.value
         for rows in parts:
             keep = pa.array(filled[rows.column(2).to_numpy(zero_copy_only=False)])
-            yield pa.RecordBatch.from_arrays([rows.column(i).filter(keep) for i in (0, 1)], names=["row", "text"])
+            yield pa.RecordBatch.from_arrays([rows.column(i).filter(keep) for i in (0, 1)], names=["row", "bytes"])
 
     return run
 
 
 def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row, start, n): runs of window starts of (row, text) whose window starts elsewhere too."""
+    """(row, start, n): runs of window starts of (row, bytes) whose window starts elsewhere too."""
     spark = prepare(texts.sparkSession)
     runs = written(texts.mapInArrow(_runs(window), "anchor long, content long, row long, start long, n int, lead int"), "sd-runs")
     judged = written(_told_apart(runs.withColumn("weight", F.lit(1)), ["anchor"], ["row", "start", "n", "lead"]), "sd-classes")
@@ -165,10 +167,10 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     weight = F.least("w", F.lit(2)).cast("int").alias("weight")
     opened = judged.where("open").select("anchor", "content", weight, "one.row", "one.start", "one.n", "one.lead")
     bits = spark.sparkContext.broadcast(_bits(opened))
-    slotted = texts.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)).cast("int").alias("slot"))
-    some = slotted.mapInArrow(_maybe(bits), "row long, text string").dropDuplicates(["row"])
+    slotted = texts.select("row", "bytes", F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)).cast("int").alias("slot"))
+    some = slotted.mapInArrow(_maybe(bits), "row long, bytes binary").dropDuplicates(["row"])
     by_row = opened.groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "weight", "row", "start", "n", "lead")).alias("runs"))
-    parts = some.join(by_row, "row").select("text", "runs").mapInArrow(_slices(window), "anchor long, content long, weight int, row long, start long, lead int, bytes binary")
+    parts = some.join(by_row, "row").select("bytes", "runs").mapInArrow(_slices(window), "anchor long, content long, weight int, row long, start long, lead int, bytes binary")
     parts = written(parts, "sd-open")
     release(runs, judged)
 
@@ -183,7 +185,40 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     release(cells, judged, parts)
     twice = single.groupBy("common", "content").agg(F.sum("weight").alias("w")).where("w >= 2").select("common", "content")
     in_windows = single.where("weight = 1").join(twice, ["common", "content"]).select("row", "start", F.lit(1).alias("n"))
-    return whole.union(in_cells).union(in_windows)
+    out = written(whole.union(in_cells).union(in_windows), "sd-found")
+    release(whole, in_cells, single)
+    return out
+
+
+def _covered(found, window: int) -> list[tuple[int, int]]:
+    """The maximal stretches that the windows of runs (start, n) cover."""
+    spans: list[tuple[int, int]] = []
+    for low, n in sorted((r["start"], r["n"]) for r in found or []):
+        high = low + n + window - 1
+        if spans and low <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(high, spans[-1][1]))
+        else:
+            spans.append((low, high))
+    return spans
+
+
+def _regions(short: int, window: int, over_words: int):
+    """(row, bytes, found) to the stretches of repeated short windows that hold a window or more words than ``over_words``: (row, low, words, passage, bytes)."""
+
+    def run(parts):
+        for rows in parts:
+            out = []
+            for row, raw, found in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2).to_pylist()):
+                raw = raw.as_buffer().to_pybytes()
+                for low, high in _covered(found, short):
+                    over = len(raw[low:high].split()) > over_words
+                    if over or high - low >= window:
+                        out.append((row, low, over, high - low, raw[low:high] if high - low >= window else None))
+            if out:
+                c = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.bool_()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary())], names=["row", "low", "over", "size", "bytes"])
+
+    return run
 
 
 def _keep(window: int, as_text: bool, over_words: int):
@@ -192,19 +227,10 @@ def _keep(window: int, as_text: bool, over_words: int):
             out = []
             for doc, text, found in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2).to_pylist()):
                 raw = text.as_buffer().to_pybytes()
-                kept, spans, low, high = [], [], 0, -1
-                for lo, n in sorted(((r["start"], r["n"]) for r in found or []), key=lambda x: (x[0], -x[1])):
-                    end = lo + n + window - 1
-                    if high < 0 or lo > high:
-                        if high >= 0:
-                            spans.append((low, high))
-                        low, high = lo, end
-                    else:
-                        high = max(high, end)
-                if high >= 0:
-                    spans.append((low, high))
-                spans = [(a, b) for a, b in spans if b - a >= WINDOW or len(raw[a:b].split()) > over_words]
-                at = 0
+                spans = _covered(found, window)
+                if over_words:
+                    spans = [(a, b) for a, b in spans if b - a >= WINDOW or len(raw[a:b].split()) > over_words]
+                kept, at = [], 0
                 for a, b in spans:
                     kept.append(raw[at:a])
                     at = b
@@ -219,22 +245,63 @@ def _keep(window: int, as_text: bool, over_words: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, as_text: bool = False, carry: tuple[str, ...] = (), over_words: int = 0) -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str, *carry) -> DataFrame:
+    """(doc_id, text, carried columns, row): a row is known by a hash of its id and text."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
+    return texts.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, short: int = PASSAGE_BYTES, over_words: int = PASSAGE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Repeats in two steps, shorter windows first: (row, start, n) of repeated windows as ``repeated_windows`` gives them, and (row, n_passages, passage_bytes).
+
+    All shorter windows in a repeated window are repeated, so the longer ones are
+    looked for in the stretches that repeated shorter windows cover, and only
+    there. Those stretches of more than ``over_words`` words are the passages.
+    """
+    texts = _texts(docs, id_col, text_col).select("row", F.col("text").cast("binary").alias("bytes"))
+    found = repeated_windows(texts, short)
+    by_row = found.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("found"))
+    regions = texts.join(by_row, "row").mapInArrow(_regions(short, window, over_words), "row long, low long, over boolean, size long, bytes binary")
+    regions = written(regions, "sd-regions")
+    release(found)
+    counted = regions.where("over").dropDuplicates(["row", "low"]).groupBy("row").agg(F.count("*").alias("n_passages"), F.sum("size").alias("passage_bytes"))
+    counted = written(counted, "sd-passages")
+    keyed = regions.where("bytes is not null").withColumn("region", F.xxhash64("row", "low"))
+    inside = repeated_windows(keyed.select(F.col("region").alias("row"), "bytes"), window)
+    placed = keyed.select("region", F.col("row").alias("of"), "low").distinct().join(inside.withColumnRenamed("row", "region"), "region")
+    runs = written(placed.select(F.col("of").alias("row"), (F.col("low") + F.col("start")).alias("start"), "n"), "sd-runs-found")
+    release(regions, inside)
+    return runs, counted
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, as_text: bool = False, carry: tuple[str, ...] = (), over_words: int = 0, passage_counts: bool = False) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` and the carried columns.
 
     ``kept`` is binary, or with ``as_text`` a string without the characters that a cut has halved.
 
     Every byte goes that a ``window``-byte string covers which starts anywhere else,
     in the same text or another, judged on the input. Matches never cross texts.
+    With ``passage_counts``, ``n_passages`` and ``passage_bytes`` tell of the repeated
+    passages of over 50 words, those under 400 bytes included, which stay.
     With ``over_words``, a stretch of such bytes below 400 goes only if it has more words.
     Null and short texts are kept as they are; repeated rows repeat each other, so
     their long parts go from each; rows are known by a hash of id and text, so that
     rows without id and different texts of one id are kept apart; columns that are
     not carried are not read; an empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
-    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = repeated_windows(texts.select("row", "text"), window).groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("found"))
-    joined = texts.join(found, "row", "left").select("doc_id", "text", "found", *carry)
-    carried = "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in carry)
+    texts = _texts(docs, id_col, text_col, *carry)
+    if passage_counts:
+        runs, counted = passages(docs, id_col, text_col, window)
+    else:
+        runs, counted = repeated_windows(texts.select("row", F.col("text").cast("binary").alias("bytes")), window), None
+    found = runs.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("found"))
+    names = list(carry)
+    if counted is not None:
+        found = found.join(counted, "row", "full")
+        names += ["n_passages", "passage_bytes"]
+    joined = texts.join(found, "row", "left")
+    if counted is not None:
+        joined = joined.fillna(0, ["n_passages", "passage_bytes"])
+    joined = joined.select("doc_id", "text", "found", *names)
+    carried = "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in names)
     return joined.mapInArrow(_keep(window, as_text, over_words), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{carried}")
