@@ -161,7 +161,7 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = prepare(texts.sparkSession)
     runs = written(texts.mapInArrow(_runs(window), "anchor long, content long, row long, start long, n int, lead int"), "sd-runs")
     judged = written(_told_apart(runs.withColumn("weight", F.lit(1)), ["anchor"], ["row", "start", "n", "lead"]), "sd-classes")
-    whole = runs.join(judged.where("w >= 2").select("anchor", "content"), ["anchor", "content"]).select("row", "start", "n")
+    whole = runs.join(judged.where("w >= 2").select("anchor", "content"), ["anchor", "content"], "left_semi").select("row", "start", "n")
     whole = written(whole, "sd-whole")
 
     weight = F.least("w", F.lit(2)).cast("int").alias("weight")
@@ -177,14 +177,14 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     cells = parts.mapInArrow(_cells(window, CELL), "anchor long, common long, content long, weight int, row long, start long, first int, n int")
     cells = written(cells.withColumn("common", F.xxhash64("anchor", "common")).drop("anchor"), "sd-cells")
     judged = written(_told_apart(cells, ["common"], ["row", "start", "first", "n"]), "sd-cell-classes")
-    in_cells = cells.where("weight = 1").join(judged.where("w >= 2").select("common", "content"), ["common", "content"]).select("row", (F.col("start") + F.col("first")).alias("start"), "n")
+    in_cells = cells.where("weight = 1").join(judged.where("w >= 2").select("common", "content"), ["common", "content"], "left_semi").select("row", (F.col("start") + F.col("first")).alias("start"), "n")
     in_cells = written(in_cells, "sd-in-cells")
     finer = judged.where("open").select("common", weight, "one.row", "one.start", "one.first", "one.n").groupBy("row", "start").agg(F.collect_list(F.struct("common", "weight", "first", "n")).alias("cells"))
     single = finer.join(parts.select("row", "start", "bytes"), ["row", "start"]).mapInArrow(_windows(window), "common long, content long, weight int, row long, start long")
     single = written(single, "sd-windows")
     release(cells, judged, parts)
     twice = single.groupBy("common", "content").agg(F.sum("weight").alias("w")).where("w >= 2").select("common", "content")
-    in_windows = single.where("weight = 1").join(twice, ["common", "content"]).select("row", "start", F.lit(1).alias("n"))
+    in_windows = single.where("weight = 1").join(twice, ["common", "content"], "left_semi").select("row", "start", F.lit(1).alias("n"))
     out = written(whole.union(in_cells).union(in_windows), "sd-found")
     release(whole, in_cells, single)
     return out

@@ -3,13 +3,15 @@
 Documents become sets of word shingles; equal sets collapse to one class. A share
 of all shingles, chosen by hash, is looked up first: those that only one class
 has lie outside every intersection, and most sets have too many of them to link
-with any other and are done. The others are cut into buckets by shingle hash. Two sets within the similarity differ in at most D
-shingles, so that with more buckets than D some have equal contents. These are
-the tokens of the matrix: groups are certified components of similar classes, a
-group's token union is the distinct tokens of its members, and a group is opened
-for a query only if their overlap reaches the bound. Opened members are compared
-exactly. Only components are asked for, so a group whose members are already
-linked is never compared within itself.
+with any other and are done. The others are cut
+into buckets by shingle hash. Two sets within the similarity differ in at most D
+shingles, so that of 2 D + 8 buckets many have equal contents. These are the
+tokens of the matrix. Sets are linked to the most typical set of a token first.
+Then similar sets are dealt into groups of bounded size, a group's token union is
+the distinct tokens of its members, and a group is opened for a query only if
+their overlap reaches what any partner of the query shares. Opened groups are
+compared exactly, many queries at a time. Only components are asked for, so a
+group of which all members are linked to the query already is never opened.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ _SUMMARY = "doc_id long, n_shingles long, d1 long, d2 long"
 _REMEMBERED = 1_000_000
 #: Looked-up shingles that a task combines before they are shuffled: a frequent one leaves one row of each chunk.
 _CHUNK = 1 << 20
+#: Sets in a group, and in a batch of queries, and shingles in them: more are dealt to several.
+GROUP_SETS, GROUP_SHINGLES = 256, 500_000
 
 
 def _bands(top: int, num: int, den: int) -> list[int]:
@@ -44,21 +48,21 @@ def _looked_up(num, den):
 
 
 def _bucket_tokens(hashes, at, num, den):
-    """The tokens of each set under the schemes of its own band and the one below.
+    """The tokens of each set under the schemes of its own band and the one below, and how many of them any partner has.
 
-    A set with D + 2 filled buckets has two of them in common with any partner, so
-    only sets with fewer give tokens for empty buckets too.
+    Of its filled buckets a set has all but D in common with a partner. Only sets
+    with fewer than D + 2 give tokens for empty buckets too.
     """
     n = np.diff(at)
     edges = np.array(_bands(int(n.max(initial=1)), num, den), dtype=np.int64)
     band = np.searchsorted(edges, n, side="right") - 1
     docs = np.repeat(np.arange(len(n)), n)
     mixed = mix(hashes.view(np.uint64) ^ _U(0xA0761D6478BD642F))
-    values, owners = [], []
+    values, owners, need = [], [], np.full(len(n), np.iinfo(np.int64).max)
     for down in (0, 1):
         scheme = band - down
         most = (edges[np.clip(scheme + 1, 0, None)] - 1) * (den - num) // num
-        parts = np.where((scheme >= 0) & (n > 0) & (most > 0), most + most // 4 + 8, 0)
+        parts = np.where((scheme >= 0) & (n > 0) & (most > 0), 2 * most + 8, 0)
         of = parts[docs]
         use = of > 0
         if not use.any():
@@ -75,17 +79,19 @@ def _bucket_tokens(hashes, at, num, den):
         filled = np.zeros(first[-1], dtype=bool)
         filled[cells] = True
         owner = np.repeat(np.arange(len(n)), parts)
-        few = np.bincount(owner[filled], minlength=len(n)) < most + 2
+        full = np.bincount(owner[filled], minlength=len(n))
+        few = full < most + 2
+        need = np.where(parts > 0, np.minimum(need, np.where(few, 2, full - most)), need)
         emit = filled | few[owner]
         where = np.arange(first[-1]) - first[owner]
         token = mix(total + mix(where.astype(np.uint64) * _U(0x8EBC6AF09C88C6E3) + scheme[owner].astype(np.uint64)))
         values.append(token[emit])
         owners.append(owner[emit])
     if not values:
-        return np.zeros(0, np.int64), np.zeros(len(n) + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(n) + 1, np.int64), need
     values, owners = np.concatenate(values), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return values[order].view(np.int64), np.searchsorted(owners[order], np.arange(len(n) + 1))
+    return values[order].view(np.int64), np.searchsorted(owners[order], np.arange(len(n) + 1)), need
 
 
 def _digests(hashes, at):
@@ -164,20 +170,60 @@ def _sets(k):
 
 
 def _tokens(num, den):
-    """(node, n, reach, lonely, shingles) to (token, node, n, reach, lonely)."""
+    """(node, n, reach, lonely, shingles) to (token, node, n, reach, lonely, need)."""
 
     def run(parts):
         for rows in parts:
             if not rows.num_rows:
                 continue
             at = np.concatenate([[0], np.cumsum(rows.column("n").to_numpy())])
-            tokens, owners = _bucket_tokens(rows.column("shingles").flatten().to_numpy(), at, num, den)
+            tokens, owners, need = _bucket_tokens(rows.column("shingles").flatten().to_numpy(), at, num, den)
             each = pa.array(np.repeat(np.arange(rows.num_rows), np.diff(owners)))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), *(rows.column(c).take(each) for c in ("node", "n", "reach", "lonely"))], names=["token", "node", "n", "reach", "lonely"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), *(rows.column(c).take(each) for c in ("node", "n", "reach", "lonely")), pa.array(need).take(each)], names=["token", "node", "n", "reach", "lonely", "need"])
 
     return run
 
 
+def _opened(num, den):
+    """Rows of queries and members, both lists of (node, shingles), to the roots (u, v) of what links in the row."""
+
+    def side(cell):
+        both = cell.values
+        sets = both.field("shingles")
+        at = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        return both.field("node").to_numpy(), sets.flatten().to_numpy(), at
+
+    def run(parts):
+        for rows in parts:
+            for queries, members in zip(rows.column("queries"), rows.column("members")):
+                q, q_hashes, q_at = side(queries)
+                m, m_hashes, m_at = side(members)
+                order = np.argsort(m_hashes, kind="stable")
+                hashes, owner, size = m_hashes[order], np.repeat(np.arange(len(m)), np.diff(m_at))[order], np.diff(m_at)
+                nodes, number = np.unique(np.concatenate([q, m]), return_inverse=True)
+                root = np.arange(len(nodes))
+                for i in range(len(q)):
+                    asked = q_hashes[q_at[i] : q_at[i + 1]]
+                    low, high = np.searchsorted(hashes, asked, "left"), np.searchsorted(hashes, asked, "right")
+                    times = high - low
+                    at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                    both = np.bincount(owner[at], minlength=len(m))
+                    near = np.flatnonzero(den * both >= num * (len(asked) + size - both))
+                    if len(near):
+                        met = np.unique(root[np.append(number[len(q) + near], number[i])])
+                        root[np.isin(root, met)] = met[0]
+                moved = root != np.arange(len(nodes))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[root[moved]]), pa.array(nodes[moved])], names=["u", "v"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Adds ``part``: rows (node, n) of one ``by`` are dealt to parts of bounded size."""
+    sizes = rows.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts"))
+    return rows.join(sizes, by).withColumn("part", F.expr("pmod(xxhash64(node, 5), parts)")).drop("parts")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of candidate pairs (u, v), those whose sets reach the similarity exactly."""
     one = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
@@ -228,47 +274,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     release(judged)
 
     # Tokens of several classes, each with its most typical class; frequent tokens are joined, not windowed, so that skew can be split.
-    tokens = written(sets.mapInArrow(_tokens(num, den), "token long, node long, n long, reach long, lonely double"), "tg-tokens")
+    tokens = written(sets.mapInArrow(_tokens(num, den), "token long, node long, n long, reach long, lonely double, need long"), "tg-tokens")
     several = tokens.groupBy("token").agg(F.min("n").alias("least"), F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct("lonely", "node")).alias("centre"))
     several = several.where("low <> high").select("token", "least", F.col("centre.node").alias("centre"))
-    live = written(tokens.join(several, "token").where("least <= reach").select("token", "node", "n", "reach", "centre"), "tg-live")
+    live = written(tokens.join(several, "token").where("least <= reach").select("token", "node", "n", "reach", "need", "centre"), "tg-live")
     release(tokens)
 
-    # Groups: classes certified as linked to the most typical class of a token they share.
-    stars = live.where("node <> centre").groupBy(F.col("centre").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("times")).where("times >= 2").select("u", "v")
+    # Classes that link to the most typical class of a token they share.
+    stars = live.where("node <> centre").groupBy(F.col("centre").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("times"), F.first("need").alias("need")).where("times >= need").select("u", "v")
     stars = written(stars, "tg-stars")
     links = written(_linked(stars, sets, num, den), "tg-links")
-    release(stars)
     groups = connected_components(links)
 
-    # The matrix: tokens by group. Only tokens that several groups hold can bound anything from below.
-    grouped = live.drop("centre").join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
-    open_ = grouped.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
-    matrix = written(grouped.join(open_, "token", "left_semi"), "tg-matrix")
-    release(live)
-    if not matrix.isEmpty():
-        union = matrix.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("reach").alias("farthest"))
-        near = matrix.join(union, "token").where("other < grp and least <= reach and n <= farthest").groupBy("node", "other").agg(F.count("*").alias("overlap"), F.min("least").alias("least"), F.first("n").alias("n"), F.first("reach").alias("reach")).where("overlap >= 2")
-        of_group = written(matrix.select(F.col("grp").alias("other"), F.col("node").alias("member"), F.col("n").alias("m"), F.col("reach").alias("far")).distinct(), "tg-members")
-        sizes = of_group.groupBy("other").agg(F.count("*").alias("members"))
-        near = written(near.drop("overlap").join(sizes, "other"), "tg-near")
-        # The bound proper, for groups of several: how much of the query their union of shingles can hold.
-        large = near.where("members > 1")
+    # The matrix: tokens by group of classes that are linked or share their centre.
+    own = live.groupBy("node").agg(F.first("n").alias("n"), F.first("reach").alias("reach"), F.first("need").alias("need"), F.min("centre").alias("home"))
+    own = own.join(groups, "node", "left").select("node", "n", "reach", "need", F.coalesce("component", "node").alias("component"), F.coalesce("component", "home").alias("home"))
+    own = written(_dealt(own, "home").withColumn("grp", F.xxhash64("home", "part")).drop("home", "part"), "tg-groups")
+    matrix = written(live.select("token", "node").join(own, "node"), "tg-matrix")
+    release(stars, live)
+    union = matrix.groupBy("token", F.col("grp").alias("other")).agg(
+        F.min("n").alias("least"), F.max("reach").alias("farthest"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("component").alias("first"), F.max("component").alias("last")
+    )
+    met = matrix.join(union, "token").where("other <= grp and (other <> grp or low <> high) and (first <> last or first <> component) and least <= reach and n <= farthest")
+    near = written(met.groupBy("node", "other").agg(F.count("*").alias("overlap"), F.first("need").alias("need"), F.first("n").alias("n")).where("overlap >= need").select("node", "other", "n"), "tg-near")
+    if not near.isEmpty():
         contents = sets.select("node", "shingles")
-        held = of_group.join(large.select("other").distinct(), "other", "left_semi").select("other", F.col("member").alias("node")).join(contents, "node").select("other", F.explode("shingles").alias("shingle")).distinct()
-        asked = large.join(contents, "node").select("node", "other", F.explode("shingles").alias("shingle"))
-        missed = asked.join(held, ["other", "shingle"], "left_anti").groupBy("node", "other").agg(F.count("*").alias("out"))
-        bound = large.join(missed, ["node", "other"], "left").withColumn("o", F.col("n") - F.coalesce("out", F.lit(0)))
-        bound = bound.where(den * F.col("o") >= num * (F.col("n") + F.greatest(F.col("least") - F.col("o"), F.lit(0))))
-        opened = written(near.where("members = 1").select("node", "other", "n", "reach").union(bound.select("node", "other", "n", "reach")), "tg-opened")
-        pairs = opened.join(of_group, "other").where("n <= far and m <= reach").select(F.col("member").alias("u"), F.col("node").alias("v"))
-        pairs = written(pairs, "tg-pairs")
-        release(near, of_group, opened)
-        fewer, links = links, written(links.union(_linked(pairs, sets, num, den)), "tg-links")
-        release(groups)
+        listed = F.collect_list(F.struct("node", "shingles"))
+        asking = _dealt(near, "other").join(contents, "node").groupBy("other", "part").agg(listed.alias("queries"))
+        asked = own.select("node", F.col("grp").alias("other")).join(near.select("other").distinct(), "other", "left_semi").join(contents, "node").groupBy("other").agg(listed.alias("members"))
+        more = asking.join(asked, "other").select("queries", "members").mapInArrow(_opened(num, den), "u long, v long")
+        fewer, links = links, written(links.union(more), "tg-links")
+        release(groups, fewer)
         groups = connected_components(links)
-        release(pairs, fewer)
-    release(matrix, sets, links)
+    release(own, matrix, near, sets, links)
     linked = classes.join(groups, "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     class_ids = written(linked.join(least, "component").select("d1", "d2", "component_id"), "tg-class-ids")
