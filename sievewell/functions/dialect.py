@@ -50,6 +50,25 @@ class Spark:
     def largest(self, xs: str) -> str:
         return f"array_max({xs})"
 
+    def lines(self, x: str) -> str:
+        """As Java splits lines: empty ones at the end are dropped."""
+        return f"split(regexp_replace({x}, '[\\\\r\\\\n]+$', ''), '\\\\r\\\\n|[\\\\r\\\\n]', -1)"
+
+    def keep(self, xs: str, f, name: str = "x") -> str:
+        return f"filter({xs}, {name} -> {f(name)})"
+
+    def first_of(self, xs: str, n: str) -> str:
+        return f"slice({xs}, 1, {n})"
+
+    def numbers_to(self, n: str) -> str:
+        return f"sequence(1, {n})"
+
+    def strings(self, items: list[str]) -> str:
+        return f"array({', '.join(items)})"
+
+    def glued(self, xs: str, by: str) -> str:
+        return f"array_join({xs}, {by})"
+
     def at(self, xs: str, i: str) -> str:
         return f"try_element_at({xs}, {i})"
 
@@ -69,16 +88,21 @@ class Spark:
 
     def has(self, x: str, word: str) -> str:
         """A phrase, or a word with a sign or another script, anywhere; a plain word only as a whole."""
+        found = f"contains({x}, {self.text(word)})"
         if any(c in word for c in " -/") or not word.isascii():
-            return f"contains({x}, {self.text(word)})"
-        escaped = "".join(c if c.isalnum() else "\\" + c for c in word)
-        return self.matches(x, rf"\b{escaped}\b")
+            return found
+        return f"({found} and {self.matches(x, rf'\b{self.escaped(word)}\b')})"
+
+    def escaped(self, word: str) -> str:
+        return "".join(c if c.isalnum() or c in "_ " else "\\" + c for c in word)
 
     def any_of(self, x: str, words) -> str:
+        """Any word as ``has`` finds it. Plain substrings are looked for first: the expression is searched only where one of its words stands."""
         plain = [w for w in words if not any(c in w for c in " -/") and w.isascii()]
         parts = [f"contains({x}, {self.text(w)})" for w in words if w not in plain]
         if plain:
-            parts.append(self.matches(x, r"\b(?:" + "|".join("".join(c if c.isalnum() or c == "_" else "\\" + c for c in w) for w in plain) + r")\b"))
+            somewhere = " or ".join(f"contains({x}, {self.text(w)})" for w in plain)
+            parts.append(f"(({somewhere}) and {self.matches(x, r'\b(?:' + '|'.join(map(self.escaped, plain)) + r')\b')})")
         return "(" + " or ".join(parts) + ")"
 
     def inside(self, x: str, words) -> str:
@@ -137,6 +161,24 @@ class DuckDB(Spark):
     def largest(self, xs: str) -> str:
         return f"list_max({xs})"
 
+    def lines(self, x: str) -> str:
+        return f"string_split_regex(regexp_replace({x}, '[\\r\\n]+$', ''), '\\r\\n|[\\r\\n]')"
+
+    def keep(self, xs: str, f, name: str = "x") -> str:
+        return f"list_filter({xs}, lambda {name}: {f(name)})"
+
+    def first_of(self, xs: str, n: str) -> str:
+        return f"({xs})[1:{n}]"
+
+    def numbers_to(self, n: str) -> str:
+        return f"range(1, {n} + 1)"
+
+    def strings(self, items: list[str]) -> str:
+        return f"[{', '.join(items)}]"
+
+    def glued(self, xs: str, by: str) -> str:
+        return f"coalesce(array_to_string({xs}, {by}), '')"
+
     def at(self, xs: str, i: str) -> str:
         return f"({xs})[{i}]"
 

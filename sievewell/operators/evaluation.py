@@ -266,7 +266,12 @@ def evaluate(postings: DataFrame, persona: Persona, companies=COMPANIES, blackli
     out = postings
     for stage in stages(SPARK, persona, companies, blacklist, context or "''", candidate):
         out = out.selectExpr("*", *[f"{e} as {name}" for name, e in stage.items()])
-    return out.select(*kept, *RESULT)
+    return _fenced(out, [*kept, *RESULT])
+
+
+def _fenced(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns behind a generator of one row: a filter on one of them is not inlined into all that it is computed from."""
+    return df.selectExpr(f"inline(array(struct({', '.join(f'`{c}`' for c in columns)})))")
 
 
 def evaluate_sql(source: str, persona: Persona, d: Spark, companies=COMPANIES, blacklist=BLACKLIST) -> str:

@@ -27,19 +27,37 @@ def ranked(items: DataFrame, strategy: str = "by_score", top: int = 5) -> DataFr
     return items.withColumn("place", place).where(F.col("place") <= max(1, top))
 
 
-def verdict_counts(items: DataFrame, *keys: str) -> DataFrame:
+def ranked_by_all(items: DataFrame, top: int = 5) -> DataFrame:
+    """``ranked`` under every strategy at once: the items are computed once, a row per strategy carries its two sort keys."""
+    keys = {
+        "by_score": ("score", "0"),
+        "by_language_ease": ("-language_friction_index", "score"),
+        "by_reputation": ("company_reputation_index", "score"),
+        "by_composite": ("2 * score + (100 - language_friction_index) + company_reputation_index", "0"),
+    }
+    each = ", ".join(f"struct('{s}' as strategy, cast({a} as int) as first_key, cast({b} as int) as second_key)" for s, (a, b) in keys.items())
+    place = F.row_number().over(W.partitionBy("strategy", "verdict").orderBy(F.desc("first_key"), F.desc("second_key"), "ordinal"))
+    return items.selectExpr("*", f"inline(array({each}))").withColumn("place", place).where(F.col("place") <= max(1, top))
+
+
+def _aggregates() -> list[Column]:
     count = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).cast("long").alias(v.lower())
     mean = lambda c, name: F.coalesce(F.avg(c), F.lit(0.0)).alias(name)
-    return items.groupBy(*keys).agg(F.count("*").alias("jobs"), *[count(v) for v in VERDICTS], mean("score", "avg_score"), mean("language_friction_index", "avg_friction"), mean("company_reputation_index", "avg_reputation"))
+    return [F.count("*").alias("jobs"), *[count(v) for v in VERDICTS], mean("score", "avg_score"), mean("language_friction_index", "avg_friction"), mean("company_reputation_index", "avg_reputation")]
+
+
+def verdict_counts(items: DataFrame, *keys: str) -> DataFrame:
+    return items.groupBy(*keys).agg(*_aggregates())
+
+
+def _named(items: DataFrame) -> DataFrame:
+    name = F.when(F.trim(F.coalesce("company_name", F.lit(""))) == "", "Unknown Company").otherwise(F.trim("company_name"))
+    return items.withColumn("shown", name).withColumn("company_key", F.lower("shown"))
 
 
 def company_stats(items: DataFrame, *keys: str) -> DataFrame:
     """By company, whatever its case; the first spelling is shown, a blank name is an unknown company."""
-    name = F.when(F.trim(F.coalesce("company_name", F.lit(""))) == "", "Unknown Company").otherwise(F.trim("company_name"))
-    named = items.withColumn("shown", name).withColumn("company_key", F.lower("shown"))
-    stats = verdict_counts(named, *keys, "company_key")
-    first = named.groupBy(*keys, "company_key").agg(F.min_by("shown", "ordinal").alias("company"))
-    return stats.join(first, [*keys, "company_key"])
+    return _named(items).groupBy(*keys, "company_key").agg(*_aggregates(), F.min_by("shown", "ordinal").alias("company"))
 
 
 def frequencies(items: DataFrame, column: str) -> DataFrame:
@@ -57,10 +75,10 @@ def deltas(runs: DataFrame, scope: str, order: str, columns=TREND) -> DataFrame:
     return runs.select("*", *[(F.col(c) - F.lag(c).over(before)).alias(f"d_{c}") for c in present], *[F.lag(c).over(before).alias(f"p_{c}") for c in present])
 
 
-def movers(current: DataFrame, previous: DataFrame, top: int = 5) -> DataFrame:
-    """Companies of both runs whose average score moved most."""
-    then = previous.select("company_key", F.col("avg_score").alias("before"))
-    both = current.join(then, "company_key").withColumn("delta", F.col("avg_score") - F.col("before"))
+def movers(items: DataFrame, is_current: str, top: int = 5) -> DataFrame:
+    """Companies of both runs whose average score moved most; one pass over the items of both."""
+    mean = lambda when: F.avg(F.when(when, F.col("score")))
+    both = _named(items).groupBy("company_key").agg((mean(F.col(is_current)) - mean(~F.col(is_current))).alias("delta")).where("delta is not null")
     return both.orderBy(F.abs("delta").desc(), "company_key").limit(top).select("company_key", "delta")
 
 

@@ -64,11 +64,7 @@ def top_k_per_verdict(spark, sf_dir):
 @_query(" union all ".join(f"select '{s}' as strategy, * from ({_top_sql(s)})" for s in reports.RANKINGS))
 def top_k_by_strategy(spark, sf_dir):
     items = evaluate(postings(spark, sf_dir), PERSONA).select("ordinal", "company_name", "verdict", "score", "language_friction_index", "company_reputation_index")
-    out = None
-    for s in reports.RANKINGS:
-        one = reports.ranked(items, s).select(F.lit(s).alias("strategy"), "verdict", "place", "ordinal", "company_name", "score")
-        out = one if out is None else out.unionAll(one)
-    return out
+    return reports.ranked_by_all(items).select("strategy", "verdict", "place", "ordinal", "company_name", "score")
 
 
 @_query(" union all ".join(f"select '{k}' as kind, entry, count(*) as n from (select unnest({c}) as entry from {EVALUATED}) group by entry" for k, c in (("positive", "positive_signals"), ("risk", "risk_signals"))))
@@ -232,9 +228,8 @@ def _half(sign: str) -> str:
 
 @_query(f"select company_key, round(delta, 6) as delta from (select a.company_key, a.avg_score - b.avg_score as delta from {_half('=')} a join {_half('<>')} b using (company_key)) order by abs(delta) desc, company_key limit 5")
 def company_movers(spark, sf_dir):
-    items = evaluate(postings(spark, sf_dir), PERSONA)
-    half = lambda c: reports.company_stats(items.where(c))
-    return reports.movers(half("ordinal % 2 = 0"), half("ordinal % 2 <> 0")).select("company_key", F.round("delta", 6).alias("delta"))
+    items = evaluate(postings(spark, sf_dir), PERSONA).withColumn("now", F.expr("ordinal % 2 = 0"))
+    return reports.movers(items, "now").select("company_key", F.round("delta", 6).alias("delta"))
 
 
 @_query("select run, n from (select *, row_number() over (order by run desc) as back from (select date_trunc('month', o_orderdate)::timestamp as run, count(*) as n from orders group by 1)) where back <= 26")
@@ -336,10 +331,8 @@ def listing_hosts(spark, sf_dir):
 @_query(f"""select ordinal, company_name, score from (select *, row_number() over (order by coalesce(score, -1) desc, ordinal) as place from {EVALUATED} where verdict = 'GO') where place between 21 and 40""")
 def filtered_page(spark, sf_dir):
     """The second page, of twenty, of one verdict by score."""
-    # Other verdicts sort last and go after the limit: a filter on the verdict below it would be inlined into the scan with all its inputs.
-    first = F.when(F.col("verdict") == "GO", F.coalesce("score", F.lit(-1))).desc_nulls_last()
-    page = evaluate(postings(spark, sf_dir), PERSONA).orderBy(first, "ordinal").offset(20).limit(20)
-    return page.where("verdict = 'GO'").select("ordinal", "company_name", "score")
+    page = evaluate(postings(spark, sf_dir), PERSONA).where("verdict = 'GO'").orderBy(F.coalesce("score", F.lit(-1)).desc(), "ordinal").offset(20).limit(20)
+    return page.select("ordinal", "company_name", "score")
 
 
 @_query("""select url, origin, ts from (select *, row_number() over (partition by url order by ts desc, origin) as place from (
