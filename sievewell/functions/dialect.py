@@ -32,8 +32,17 @@ class Spark:
     def replace(self, x: str, p: str, to: str) -> str:
         return f"regexp_replace({x}, {self.pattern(p)}, {self.text(to)})"
 
-    def each(self, xs: str, f) -> str:
-        return f"transform({xs}, x -> {f('x')})"
+    def each(self, xs: str, f, name: str = "x") -> str:
+        return f"transform({xs}, {name} -> {f(name)})"
+
+    def words(self, x: str) -> str:
+        return f"split(trim({x}), '\\\\s+', -1)"
+
+    def split_on(self, x: str, p: str) -> str:
+        return f"split({x}, {self.text(p)}, -1)"
+
+    def ends_with(self, x: str, end: str) -> str:
+        return f"endswith({x}, {self.text(end)})"
 
     def pairs(self, xs: str, ys: str, f) -> str:
         return f"zip_with({xs}, {ys}, (x, y) -> {f('x', 'y')})"
@@ -66,6 +75,37 @@ class Spark:
     def strings(self, items: list[str]) -> str:
         return f"array({', '.join(items)})"
 
+    def contains_item(self, xs: str, item: str) -> str:
+        return f"array_contains({xs}, {self.text(item)})"
+
+    def sha256(self, x: str) -> str:
+        return f"sha2({x}, 256)"
+
+    def signed(self, pattern: str, x: str) -> str:
+        return f"format_string('{pattern}', {x})"
+
+    def unnest(self, xs: str) -> str:
+        return f"explode({xs})"
+
+    def sorted_texts(self, x: str) -> str:
+        """Texts of a group in order, with commas between them."""
+        return f"array_join(sort_array(collect_list({x})), ',')"
+
+    def minutes_between(self, a: str, b: str) -> str:
+        return f"timestampdiff(minute, {a}, {b})"
+
+    def day(self, x: str) -> str:
+        return f"cast({x} as date)"
+
+    def rows(self, alias: str, columns: str, values: list[str]) -> str:
+        return f"(select * from values {', '.join(values)} as {alias}({columns}))"
+
+    def fnv(self, x: str) -> str:
+        """64-bit FNV-1a of a text of the basic plane as 16 hex digits: two halves of 32 bits, so that nothing overflows."""
+        step = "(h, c) -> struct((h.hi * 435 + ((h.lo ^ ascii(c)) * 435 div 4294967296) + (h.lo ^ ascii(c)) * 256) % 4294967296 as hi, ((h.lo ^ ascii(c)) * 435) % 4294967296 as lo)"
+        start = "struct(cast(3421674724 as bigint) as hi, cast(2216829733 as bigint) as lo)"
+        return f"aggregate(split({x}, ''), {start}, {step}, h -> lower(concat(lpad(hex(h.hi), 8, '0'), lpad(hex(h.lo), 8, '0'))))"
+
     def glued(self, xs: str, by: str) -> str:
         return f"array_join({xs}, {by})"
 
@@ -143,8 +183,17 @@ class DuckDB(Spark):
     def replace(self, x: str, p: str, to: str) -> str:
         return f"regexp_replace({x}, {self.pattern(p)}, {self.text(to)}, 'g')"
 
-    def each(self, xs: str, f) -> str:
-        return f"list_transform({xs}, lambda x: {f('x')})"
+    def each(self, xs: str, f, name: str = "x") -> str:
+        return f"list_transform({xs}, lambda {name}: {f(name)})"
+
+    def words(self, x: str) -> str:
+        return f"string_split_regex(trim({x}), '\\s+')"
+
+    def split_on(self, x: str, p: str) -> str:
+        return f"string_split_regex({x}, {self.text(p)})"
+
+    def ends_with(self, x: str, end: str) -> str:
+        return f"suffix({x}, {self.text(end)})"
 
     def pairs(self, xs: str, ys: str, f) -> str:
         return f"list_transform(list_zip({xs}, {ys}), lambda z: {f('z[1]', 'z[2]')})"
@@ -176,6 +225,31 @@ class DuckDB(Spark):
     def strings(self, items: list[str]) -> str:
         return f"[{', '.join(items)}]"
 
+    def contains_item(self, xs: str, item: str) -> str:
+        return f"list_contains({xs}, {self.text(item)})"
+
+    def sha256(self, x: str) -> str:
+        return f"sha256({x})"
+
+    def signed(self, pattern: str, x: str) -> str:
+        return f"printf('{pattern}', {x})"
+
+    def unnest(self, xs: str) -> str:
+        return f"unnest({xs})"
+
+    def sorted_texts(self, x: str) -> str:
+        return f"string_agg({x}, ',' order by {x})"
+
+    def minutes_between(self, a: str, b: str) -> str:
+        return f"datediff('second', {a}, {b}) // 60"
+
+    def rows(self, alias: str, columns: str, values: list[str]) -> str:
+        return f"(select * from (values {', '.join(values)}) as {alias}({columns}))"
+
+    def fnv(self, x: str) -> str:
+        codes = f"list_transform(string_split({x}, ''), lambda c: unicode(c)::hugeint)"
+        return f"lpad(lower(hex(list_reduce(list_prepend(14695981039346656037::hugeint, {codes}), lambda a, c: (xor(a, c) * 1099511628211::hugeint) % 18446744073709551616::hugeint)::ubigint)), 16, '0')"
+
     def glued(self, xs: str, by: str) -> str:
         return f"coalesce(array_to_string({xs}, {by}), '')"
 

@@ -260,13 +260,13 @@ def stages(d: Spark, persona: Persona, companies=COMPANIES, blacklist=BLACKLIST,
 RESULT = ("verdict", "score", "raw_score", "language_friction_index", "company_reputation_index", "hard_reject_reasons", "positive_signals", "risk_signals")
 
 
-def evaluate(postings: DataFrame, persona: Persona, companies=COMPANIES, blacklist=BLACKLIST, context: str | None = None, candidate: list[dict[str, str]] | None = None) -> DataFrame:
-    """Adds the result columns to postings (company_name, title, salary_range, remote_policy, description)."""
+def evaluate(postings: DataFrame, persona: Persona, companies=COMPANIES, blacklist=BLACKLIST, context: str | None = None, candidate: list[dict[str, str]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the result columns to postings (company_name, title, salary_range, remote_policy, description), and staged columns to keep."""
     kept = postings.columns
     out = postings
     for stage in stages(SPARK, persona, companies, blacklist, context or "''", candidate):
         out = out.selectExpr("*", *[f"{e} as {name}" for name, e in stage.items()])
-    return _fenced(out, [*kept, *RESULT])
+    return _fenced(out, [*kept, *RESULT, *keep])
 
 
 def _fenced(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -274,10 +274,25 @@ def _fenced(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.selectExpr(f"inline(array(struct({', '.join(f'`{c}`' for c in columns)})))")
 
 
-def evaluate_sql(source: str, persona: Persona, d: Spark, companies=COMPANIES, blacklist=BLACKLIST) -> str:
+def staged(df: DataFrame, added: list[dict[str, str]], columns) -> DataFrame:
+    """The columns of ``df`` and ``columns``, which the stages compute."""
+    kept = df.columns
+    for stage in added:
+        df = df.selectExpr("*", *[f"{e} as {name}" for name, e in stage.items()])
+    return _fenced(df, [*kept, *columns])
+
+
+def staged_sql(source: str, added: list[dict[str, str]]) -> str:
+    """The same as a SQL text, with all columns of all stages."""
+    for i, stage in enumerate(added):
+        source = f"(with t{i} as materialized (select * from {source}) select *, {', '.join(f'{e} as {name}' for name, e in stage.items())} from t{i})"
+    return source
+
+
+def evaluate_sql(source: str, persona: Persona, d: Spark, companies=COMPANIES, blacklist=BLACKLIST, candidate: list[dict[str, str]] | None = None) -> str:
     """The same as a SQL text over a table or subquery; stages are materialised, or an engine may inline them over and over."""
     out = source
-    for i, stage in enumerate(stages(d, persona, companies, blacklist)):
+    for i, stage in enumerate(stages(d, persona, companies, blacklist, candidate=candidate)):
         columns = ", ".join(f"{e} as {name}" for name, e in stage.items())
         out = f"(with s{i} as materialized (select * from {out}) select *, {columns} from s{i})"
     return f"(with result as materialized (select * from {out}) select * from result)"

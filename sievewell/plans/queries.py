@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.catalogue import POSITIVE, RISK
@@ -13,21 +11,9 @@ from ..operators import reports, snapshots
 from ..operators.evaluation import all_personas, evaluate, evaluate_sql, same_company, stages
 from ..operators.settings import BLACKLIST, COMPANIES, PERSONAS
 from ..sources.postings import postings, postings_sql
+from .registry import ORACLES, PERSONA, QUERIES, query
 
-PERSONA = PERSONAS[0]
 D = DUCKDB
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +25,14 @@ _LISTS = ", ".join(f"{D.joined(c)} as {c}" for c in ("positive_signals", "risk_s
 _NUMBERS = "ordinal, verdict, score, raw_score, language_friction_index, company_reputation_index"
 
 
-@_query(f"select {_NUMBERS}, {_LISTS} from {EVALUATED}")
+@query(f"select {_NUMBERS}, {_LISTS} from {EVALUATED}")
 def evaluation(spark, sf_dir):
     """Every posting with its verdict, scores, indices, signals and reasons."""
     out = evaluate(postings(spark, sf_dir), PERSONA)
     return out.select(*_NUMBERS.split(", "), *[F.array_join(c, ",").alias(c) for c in ("positive_signals", "risk_signals", "hard_reject_reasons")])
 
 
-@_query(" union all ".join(f"select '{p.name}' as persona, verdict, count(*) as n from {evaluate_sql(postings_sql(D), p, D)} group by verdict" for p in PERSONAS))
+@query(" union all ".join(f"select '{p.name}' as persona, verdict, count(*) as n from {evaluate_sql(postings_sql(D), p, D)} group by verdict" for p in PERSONAS))
 def verdict_by_persona(spark, sf_dir):
     return all_personas(postings(spark, sf_dir), PERSONAS).groupBy("persona", "verdict").agg(F.count("*").alias("n"))
 
@@ -56,18 +42,18 @@ def _top_sql(strategy: str) -> str:
     return f"select verdict, place, ordinal, company_name, score from (select *, row_number() over (partition by verdict order by {order}) as place from {EVALUATED}) where place <= 5"
 
 
-@_query(_top_sql("by_score"))
+@query(_top_sql("by_score"))
 def top_k_per_verdict(spark, sf_dir):
     return reports.ranked(evaluate(postings(spark, sf_dir), PERSONA)).select("verdict", "place", "ordinal", "company_name", "score")
 
 
-@_query(" union all ".join(f"select '{s}' as strategy, * from ({_top_sql(s)})" for s in reports.RANKINGS))
+@query(" union all ".join(f"select '{s}' as strategy, * from ({_top_sql(s)})" for s in reports.RANKINGS))
 def top_k_by_strategy(spark, sf_dir):
     items = evaluate(postings(spark, sf_dir), PERSONA).select("ordinal", "company_name", "verdict", "score", "language_friction_index", "company_reputation_index")
     return reports.ranked_by_all(items).select("strategy", "verdict", "place", "ordinal", "company_name", "score")
 
 
-@_query(" union all ".join(f"select '{k}' as kind, entry, count(*) as n from (select unnest({c}) as entry from {EVALUATED}) group by entry" for k, c in (("positive", "positive_signals"), ("risk", "risk_signals"))))
+@query(" union all ".join(f"select '{k}' as kind, entry, count(*) as n from (select unnest({c}) as entry from {EVALUATED}) group by entry" for k, c in (("positive", "positive_signals"), ("risk", "risk_signals"))))
 def signal_frequency(spark, sf_dir):
     items = evaluate(postings(spark, sf_dir), PERSONA)
     named = lambda kind: F.transform(f"{kind}_signals", lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("entry")))
@@ -75,7 +61,7 @@ def signal_frequency(spark, sf_dir):
     return both.groupBy("x.kind", "x.entry").agg(F.count("*").alias("n"))
 
 
-@_query(f"select entry, count(*) as n from (select unnest(hard_reject_reasons) as entry from {EVALUATED}) group by entry")
+@query(f"select entry, count(*) as n from (select unnest(hard_reject_reasons) as entry from {EVALUATED}) group by entry")
 def reject_reason_frequency(spark, sf_dir):
     return reports.frequencies(evaluate(postings(spark, sf_dir), PERSONA), "hard_reject_reasons")
 
@@ -85,12 +71,12 @@ _MEANS = "coalesce(avg(score), 0.0) as avg_score, coalesce(avg(language_friction
 _SHOWN = "case when trim(coalesce(company_name, '')) = '' then 'Unknown Company' else trim(company_name) end"
 
 
-@_query(f"select lower(shown) as company_key, min_by(shown, ordinal) as company, {_COUNTS}, {_MEANS} from (select *, {_SHOWN} as shown from {EVALUATED}) group by 1")
+@query(f"select lower(shown) as company_key, min_by(shown, ordinal) as company, {_COUNTS}, {_MEANS} from (select *, {_SHOWN} as shown from {EVALUATED}) group by 1")
 def company_stats(spark, sf_dir):
     return reports.company_stats(evaluate(postings(spark, sf_dir), PERSONA)).select("company_key", "company", "jobs", "go", "go_with_caution", "no_go", "avg_score", "avg_friction", "avg_reputation")
 
 
-@_query(f"select {_COUNTS}, {_MEANS} from {EVALUATED}")
+@query(f"select {_COUNTS}, {_MEANS} from {EVALUATED}")
 def run_summary(spark, sf_dir):
     return reports.verdict_counts(evaluate(postings(spark, sf_dir), PERSONA))
 
@@ -100,7 +86,7 @@ def _weights_sql() -> str:
     return f"select p as persona, cast(sum(case when w < 0 then w else 0 end) as bigint) as low, cast(sum(case when w > 0 then w else 0 end) as bigint) as high from (values {', '.join(rows)}) t(p, w) group by p"
 
 
-@_query(_weights_sql())
+@query(_weights_sql())
 def score_range(spark, sf_dir):
     """The lowest and the highest raw score a persona can give."""
     signals = spark.createDataFrame([(s, g, 0, 1) for s, g in POSITIVE] + [(s, g, x, -1) for s, g, x in RISK], "signal string, grp string, extra int, sign int")
@@ -114,7 +100,7 @@ def score_range(spark, sf_dir):
 _NAMES = ", ".join(f"({i}, {D.text(c.name)})" for i, c in enumerate(COMPANIES, 1))
 
 
-@_query(f"""select name, n, (select min(i) from (values {_NAMES}) t(i, c) where {same_company(D, "lower(name)", "lower(c)")}) as tracked
+@query(f"""select name, n, (select min(i) from (values {_NAMES}) t(i, c) where {same_company(D, "lower(name)", "lower(c)")}) as tracked
     from (select company_name as name, count(*) as n from {postings_sql(D)} group by 1)""")
 def tracked_company_match(spark, sf_dir):
     """The first tracked company of each name: a theta join of distinct names with the small list, the first in its order."""
@@ -134,12 +120,12 @@ def _blacklisted(spark, sf_dir, how):
     return jobs.join(F.broadcast(listed), F.expr(same_company(SPARK, "lower(company_name)", "b")), how)
 
 
-@_query(f"select ordinal, company_name from {postings_sql(D)} where {_ON_LIST}")
+@query(f"select ordinal, company_name from {postings_sql(D)} where {_ON_LIST}")
 def blacklist_semi_join(spark, sf_dir):
     return _blacklisted(spark, sf_dir, "left_semi")
 
 
-@_query(f"select ordinal, company_name from {postings_sql(D)} where not {_ON_LIST}")
+@query(f"select ordinal, company_name from {postings_sql(D)} where not {_ON_LIST}")
 def not_blacklisted_anti_join(spark, sf_dir):
     return _blacklisted(spark, sf_dir, "left_anti")
 
@@ -158,27 +144,27 @@ def _snapshots(spark, sf_dir):
     return now, then
 
 
-@_query(f"select job_key, change_status, ordinal, previous_file from {_DIFF}")
+@query(f"select job_key, change_status, ordinal, previous_file from {_DIFF}")
 def snapshot_diff(spark, sf_dir):
     return snapshots.diff(*_snapshots(spark, sf_dir))
 
 
-@_query(f"select change_status, count(*) as n from {_DIFF} group by 1")
+@query(f"select change_status, count(*) as n from {_DIFF} group by 1")
 def change_counts(spark, sf_dir):
     return snapshots.diff(*_snapshots(spark, sf_dir)).groupBy("change_status").agg(F.count("*").alias("n"))
 
 
-@_query(f"select job_key, source_file, company_name from {_THEN} t where not exists (select 1 from {_NOW} n where n.job_key = t.job_key)")
+@query(f"select job_key, source_file, company_name from {_THEN} t where not exists (select 1 from {_NOW} n where n.job_key = t.job_key)")
 def removed_jobs(spark, sf_dir):
     return snapshots.removed(*_snapshots(spark, sf_dir)).select("job_key", "source_file", "company_name")
 
 
-@_query(f"select ordinal, job_key, fingerprint from {_NOW} n where not exists (select 1 from {_THEN} t where n.job_key = t.job_key and n.fingerprint = t.fingerprint)")
+@query(f"select ordinal, job_key, fingerprint from {_NOW} n where not exists (select 1 from {_THEN} t where n.job_key = t.job_key and n.fingerprint = t.fingerprint)")
 def incremental_only(spark, sf_dir):
     return snapshots.changed(*_snapshots(spark, sf_dir)).select("ordinal", "job_key", "fingerprint")
 
 
-@_query(f"select ordinal, base_key, job_key from {snapshots.keyed_sql(D, postings_sql(D))}")
+@query(f"select ordinal, base_key, job_key from {snapshots.keyed_sql(D, postings_sql(D))}")
 def job_key_dedupe(spark, sf_dir):
     return snapshots.keyed(postings(spark, sf_dir)).select("ordinal", "base_key", "job_key")
 
@@ -197,7 +183,7 @@ def _runs(spark, sf_dir):
     return reports.verdict_counts(_monthly(spark, sf_dir), "run").withColumn("scope", F.lit("all"))
 
 
-@_query(f"select run, jobs, go, no_go, d_jobs, d_go, d_go_with_caution, d_no_go, round(d_avg_score, 6) as d_avg_score, round(d_avg_friction, 6) as d_avg_friction, round(d_avg_reputation, 6) as d_avg_reputation from {_DELTAS}")
+@query(f"select run, jobs, go, no_go, d_jobs, d_go, d_go_with_caution, d_no_go, round(d_avg_score, 6) as d_avg_score, round(d_avg_friction, 6) as d_avg_friction, round(d_avg_reputation, 6) as d_avg_reputation from {_DELTAS}")
 def run_trend_delta(spark, sf_dir):
     out = reports.deltas(_runs(spark, sf_dir), "scope", "run")
     return out.select("run", "jobs", "go", "no_go", "d_jobs", "d_go", "d_go_with_caution", "d_no_go", *[F.round(c, 6).alias(c) for c in ("d_avg_score", "d_avg_friction", "d_avg_reputation")])
@@ -207,7 +193,7 @@ def _alert_sql(source: str, rules, keys: str) -> str:
     return " union all ".join(f"select {keys}, '{s}' as severity, '{k}' as code from {source} where p_jobs is not null and ({c})" for k, s, c in rules if "updated" not in c)
 
 
-@_query(_alert_sql(_DELTAS, reports.RUN_ALERTS, "run"))
+@query(_alert_sql(_DELTAS, reports.RUN_ALERTS, "run"))
 def trend_alerts(spark, sf_dir):
     return reports.alerts(reports.deltas(_runs(spark, sf_dir), "scope", "run"), reports.RUN_ALERTS, ["run"])
 
@@ -216,7 +202,7 @@ _BY_COMPANY = f"(select run, lower({_SHOWN}) as company_key, {_COUNTS}, {_MEANS}
 _COMPANY_DELTAS = f"(select *, {', '.join(f'{c} - lag({c}) over (partition by company_key order by run) as d_{c}, lag({c}) over (partition by company_key order by run) as p_{c}' for c in _TREND)} from {_BY_COMPANY})"
 
 
-@_query(_alert_sql(_COMPANY_DELTAS, reports.COMPANY_ALERTS, "run, company_key"))
+@query(_alert_sql(_COMPANY_DELTAS, reports.COMPANY_ALERTS, "run, company_key"))
 def company_trend_alerts(spark, sf_dir):
     by_company = reports.company_stats(_monthly(spark, sf_dir), "run").drop("company")
     return reports.alerts(reports.deltas(by_company, "company_key", "run"), reports.COMPANY_ALERTS, ["run", "company_key"])
@@ -226,13 +212,13 @@ def _half(sign: str) -> str:
     return f"(select lower({_SHOWN}) as company_key, avg(score) as avg_score from {EVALUATED} where ordinal % 2 {sign} 0 group by 1)"
 
 
-@_query(f"select company_key, round(delta, 6) as delta from (select a.company_key, a.avg_score - b.avg_score as delta from {_half('=')} a join {_half('<>')} b using (company_key)) order by abs(delta) desc, company_key limit 5")
+@query(f"select company_key, round(delta, 6) as delta from (select a.company_key, a.avg_score - b.avg_score as delta from {_half('=')} a join {_half('<>')} b using (company_key)) order by abs(delta) desc, company_key limit 5")
 def company_movers(spark, sf_dir):
     items = evaluate(postings(spark, sf_dir), PERSONA).withColumn("now", F.expr("ordinal % 2 = 0"))
     return reports.movers(items, "now").select("company_key", F.round("delta", 6).alias("delta"))
 
 
-@_query("select run, n from (select *, row_number() over (order by run desc) as back from (select date_trunc('month', o_orderdate)::timestamp as run, count(*) as n from orders group by 1)) where back <= 26")
+@query("select run, n from (select *, row_number() over (order by run desc) as back from (select date_trunc('month', o_orderdate)::timestamp as run, count(*) as n from orders group by 1)) where back <= 26")
 def retention_last_n(spark, sf_dir):
     runs = _read(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("run")).agg(F.count("*").alias("n"))
     return snapshots.retained(runs.withColumn("scope", F.lit("all")), "scope", "run").select("run", "n")
@@ -245,12 +231,12 @@ def _hits(d: Spark, how) -> str:
     return f"select doc_id, {how(d)} as hits from (select doc_id, {d.norm('text')} as txt from documents)"
 
 
-@_query(_hits(D, lambda d: d.hits("txt", _WORDS)))
+@query(_hits(D, lambda d: d.hits("txt", _WORDS)))
 def keyword_hits_word(spark, sf_dir):
     return _read(spark, sf_dir, "documents").selectExpr("doc_id", f"{SPARK.norm('text')} as txt").selectExpr("doc_id", f"{SPARK.hits('txt', _WORDS)} as hits")
 
 
-@_query(_hits(D, lambda d: d.inside_hits("txt", _WORDS)))
+@query(_hits(D, lambda d: d.inside_hits("txt", _WORDS)))
 def keyword_hits_substring(spark, sf_dir):
     return _read(spark, sf_dir, "documents").selectExpr("doc_id", f"{SPARK.norm('text')} as txt").selectExpr("doc_id", f"{SPARK.inside_hits('txt', _WORDS)} as hits")
 
@@ -261,7 +247,7 @@ def _years(d: Spark) -> str:
     return f"coalesce({d.largest(d.each(d.extract_all(d.norm('description'), p), lambda x: f'try_cast({x} as int)'))}, 0)"
 
 
-@_query(f"select ordinal, {_years(D)} as years from {postings_sql(D)}")
+@query(f"select ordinal, {_years(D)} as years from {postings_sql(D)}")
 def required_years_max(spark, sf_dir):
     return postings(spark, sf_dir).selectExpr("ordinal", f"{_years(SPARK)} as years")
 
@@ -282,7 +268,7 @@ def _salary_sql() -> str:
     return f"select {_SALARY}, {D.joined('s_values')} as s_values from {out}"
 
 
-@_query(_salary_sql())
+@query(_salary_sql())
 def salary_parse(spark, sf_dir):
     out = postings(spark, sf_dir)
     for s in _salary_stages(SPARK):
@@ -293,7 +279,7 @@ def salary_parse(spark, sf_dir):
 _URL = ", ".join(f"{e} as {n}" for n, e in url_expressions(D).items())
 
 
-@_query(f"select page_id, {_URL} from pages")
+@query(f"select page_id, {_URL} from pages")
 def url_parts(spark, sf_dir):
     """Canonical form, host, brand token and whether the URL names one posting."""
     return _read(spark, sf_dir, "pages").selectExpr("page_id", *[f"{e} as {n}" for n, e in url_expressions(SPARK).items()])
@@ -303,7 +289,7 @@ _SITES = ("example.com", "theres.example.com", "example.net", "ththe.example.org
 _SITE_ROWS = ", ".join(f"({i}, '{s}')" for i, s in enumerate(_SITES))
 
 
-@_query(f"select page_id, (select min(i) from (values {_SITE_ROWS}) t(i, s) where host = s or suffix(host, '.' || s)) as site from (select page_id, {url_expressions(D)['host']} as host from pages)")
+@query(f"select page_id, (select min(i) from (values {_SITE_ROWS}) t(i, s) where host = s or suffix(host, '.' || s)) as site from (select page_id, {url_expressions(D)['host']} as host from pages)")
 def host_suffix_match(spark, sf_dir):
     """The first configured site that is a page's host or a parent of it: host suffixes are exploded, so it is a hash join."""
     pages = _read(spark, sf_dir, "pages").selectExpr("page_id", f"{url_expressions(SPARK)['host']} as host")
@@ -314,28 +300,21 @@ def host_suffix_match(spark, sf_dir):
     return met.groupBy("page_id").agg(F.min("i").alias("site"))
 
 
-@_query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id) as place from events) where place = 1")
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id) as place from events) where place = 1")
 def latest_per_key(spark, sf_dir):
     """The newest record of each key; of equal times the first."""
     place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), "event_id"))
     return _read(spark, sf_dir, "events").withColumn("place", place).where("place = 1").select("user_id", "event_id", "event_type")
 
 
-@_query(f"select host, titles from (select host, count(distinct title) as titles from (select {url_expressions(D)['host']} as host, lower(trim(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), ''))) as title from pages) group by host) where titles > 1")
-def listing_hosts(spark, sf_dir):
-    """Addresses under which several titles stand are listings."""
-    pages = _read(spark, sf_dir, "pages").selectExpr(f"{url_expressions(SPARK)['host']} as host", "lower(trim(regexp_extract(html, '<title>([^<]*)</title>', 1))) as title")
-    return pages.groupBy("host").agg(F.countDistinct("title").alias("titles")).where("titles > 1")
-
-
-@_query(f"""select ordinal, company_name, score from (select *, row_number() over (order by coalesce(score, -1) desc, ordinal) as place from {EVALUATED} where verdict = 'GO') where place between 21 and 40""")
+@query(f"""select ordinal, company_name, score from (select *, row_number() over (order by coalesce(score, -1) desc, ordinal) as place from {EVALUATED} where verdict = 'GO') where place between 21 and 40""")
 def filtered_page(spark, sf_dir):
     """The second page, of twenty, of one verdict by score."""
     page = evaluate(postings(spark, sf_dir), PERSONA).where("verdict = 'GO'").orderBy(F.coalesce("score", F.lit(-1)).desc(), "ordinal").offset(20).limit(20)
     return page.select("ordinal", "company_name", "score")
 
 
-@_query("""select url, origin, ts from (select *, row_number() over (partition by url order by ts desc, origin) as place from (
+@query("""select url, origin, ts from (select *, row_number() over (partition by url order by ts desc, origin) as place from (
     select 'u' || user_id as url, 'history' as origin, max(ts) as ts from events where event_type = 'view' group by 1
     union all select 'u' || user_id, 'ad_hoc', max(ts) from events where event_type = 'click' group by 1)) where place = 1""")
 def history_union(spark, sf_dir):
@@ -346,7 +325,7 @@ def history_union(spark, sf_dir):
     return one("view", "history").unionByName(one("click", "ad_hoc")).withColumn("place", place).where("place = 1").select("url", "origin", "ts")
 
 
-@_query("""select user_id, coalesce(last_ok, timestamp '1970-01-01') as last_ok, views from
+@query("""select user_id, coalesce(last_ok, timestamp '1970-01-01') as last_ok, views from
     (select user_id, max(ts) filter (event_type = 'purchase') as last_ok, count(*) filter (event_type = 'view') as views from events group by 1)
     where coalesce(last_ok, timestamp '1970-01-01') < timestamp '2024-01-20' or views = 0""")
 def stale_keys(spark, sf_dir):
@@ -356,13 +335,6 @@ def stale_keys(spark, sf_dir):
     return keys.where((F.col("last_ok") < F.lit("2024-01-20").cast("timestamp")) | (F.col("views") == 0))
 
 
-_VALUES = ", ".join(f"('{p.name}', '{k}')" for p in PERSONAS for k in p.hard_no)
-_ALLOWED = ("consulting_company", "early_stage_startup", "onsite_only", "salary_missing", "japanese_only_environment", "workload_overload", "forced_relocation")
-
+from . import posting_queries, web_queries  # noqa: E402, F401  registers its queries
 
-@_query(f"select p as persona, count(*) as rules, count(*) filter (k not in {_ALLOWED[:3]!r}) as unknown from (values {_VALUES}) t(p, k) group by p")
-def config_violations(spark, sf_dir):
-    """Entries of a setting that are not in the list of allowed ones."""
-    rows = spark.createDataFrame([(p.name, list(p.hard_no)) for p in PERSONAS], "persona string, hard_no array<string>")
-    allowed = F.array(*map(F.lit, _ALLOWED[:3]))
-    return rows.select("persona", F.size("hard_no").cast("long").alias("rules"), F.size(F.array_except("hard_no", allowed)).cast("long").alias("unknown"))
+__all__ = ["ORACLES", "QUERIES"]

@@ -9,10 +9,11 @@ import pytest
 from sievewell.plans.queries import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-#: One of those that evaluate every posting, and all that do not.
+#: Some of those that evaluate every posting, and all that do not.
 CHOSEN = (
     "evaluation score_range tracked_company_match blacklist_semi_join not_blacklisted_anti_join snapshot_diff removed_jobs incremental_only job_key_dedupe"
-    " retention_last_n keyword_hits_word keyword_hits_substring required_years_max salary_parse url_parts host_suffix_match latest_per_key listing_hosts history_union stale_keys config_violations"
+    " retention_last_n keyword_hits_word keyword_hits_substring required_years_max salary_parse url_parts host_suffix_match latest_per_key history_union stale_keys candidate_fit human_reading raw_parse company_name_resolution filtered_page"
+    " url_safety robots_allowed cache_state best_career_page anchor_jobs artifact_names ad_hoc_groups run_artifacts persona_selection page_search listing_urls stale_companies company_selection config_violations run_alerts_sorted trend_lines text_helpers"
 ).split()
 
 
