@@ -18,7 +18,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import prepare
+from .common import prepare, written
 
 CHUNK_CHARS = 16384
 OVERLAP_CHARS = 256
@@ -116,6 +116,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     seen = seen.withColumn("begin", F.when(F.col("chunk") == 0, 0).otherwise(agreed(F.lag("tail").over(ordered), F.col("head"))))
     seen = seen.withColumn("end", F.when(F.col("last"), F.length("piece")).otherwise(agreed(F.col("tail"), F.lead("head").over(ordered)) + chunk_chars))
     seen = seen.withColumn("fits", F.min(F.col("begin").isNotNull() & F.col("end").isNotNull()).over(W.partitionBy("row")))
+    # Both branches read it, so that chunks are cut and pre-tokenised once.
+    seen = written(seen.select("row", "chunk", "piece", "begin", "end", "fits"), "bpe-chunks")
     pieces = seen.where("fits").select("row", "chunk", F.expr("substring(piece, begin + 1, end - begin)").alias("text"))
     stitched = pieces.mapInArrow(_encode(path), f"row {row}, chunk int, ids array<int>").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     stitched = stitched.select("row.doc_id", F.flatten("parts.ids").alias("ids"))

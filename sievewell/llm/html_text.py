@@ -115,8 +115,21 @@ def _is_dropped(node: Node) -> bool:
     return not words.isdisjoint(_DROPPED_WORDS)
 
 
-def subtree_hash(page: str, node: Node) -> int:
-    return int.from_bytes(hashlib.blake2b(page[node.start : node.end].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def subtree_hashes(page: str, root: Node) -> dict[int, int]:
+    """Hashes of all elements by their ``id``, children first: each holds its own source and its children's hashes, so every character is read once."""
+    order = [root]
+    for node in order:
+        order.extend(c for c in node.children if isinstance(c, Node))
+    digests: dict[int, bytes] = {}
+    for node in reversed(order):
+        h, at = hashlib.blake2b(digest_size=8), node.start
+        for c in node.children:
+            if isinstance(c, Node):
+                h.update(page[at : c.start].encode("utf-8", "surrogatepass") + digests[id(c)])
+                at = c.end
+        h.update(page[at : node.end].encode("utf-8", "surrogatepass"))
+        digests[id(node)] = h.digest()
+    return {k: int.from_bytes(v, "little", signed=True) for k, v in digests.items()}
 
 
 def subtrees(page: str, root: Node) -> dict[int, bool]:
@@ -136,9 +149,10 @@ def subtrees(page: str, root: Node) -> dict[int, bool]:
                 up = above[up]
         at += 1
     found: dict[int, bool] = {}
+    hashes = subtree_hashes(page, root)
     for i, n in enumerate(nodes):
         if n.tag in _CONTAINERS and i not in holds:
-            h = subtree_hash(page, n)
+            h = hashes[id(n)]
             found[h] = found.get(h, False) or inside[i]
     return found
 
@@ -168,6 +182,7 @@ def main_text(page: str, root: Node, templates: set[int] = frozenset()) -> str:
                 blocks.append(text)
             words.clear()
 
+    hashes = subtree_hashes(page, root) if templates else {}
     todo: list = list((articles or mains[:1] or bodies[:1] or [root])[::-1])
     first = set(map(id, todo))
     while todo:
@@ -179,7 +194,7 @@ def main_text(page: str, root: Node, templates: set[int] = frozenset()) -> str:
             words.append(html.unescape(text) if "&" in text else text)
         else:
             if id(item) not in first and item is not root:
-                if _is_dropped(item) or (templates and item.tag in _CONTAINERS and subtree_hash(page, item) in templates):
+                if _is_dropped(item) or (templates and item.tag in _CONTAINERS and hashes[id(item)] in templates):
                     continue
             if item.tag == "br":
                 words.append(" ")
