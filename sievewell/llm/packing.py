@@ -27,7 +27,9 @@ from .common import prepare, written
 
 CAPACITY = 2048
 SHARD_PIECES = 4096
-ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 3, 2, 4, 4
+ISLANDS, EPOCHS, POPULATION = 3, 2, 6
+#: An epoch's crossovers at most, and how many may pass without a better child: a packing at the floor takes none.
+CROSSOVERS, PATIENCE = 60, 12
 #: A bin filled less is packed again with those of other shards.
 WELL_FILLED = 0.995
 _TOKENIZERS: dict[str, "_WordTokenizer"] = {}
@@ -227,10 +229,31 @@ def cross(a, b, sizes, capacity, rng):
     for x in sorted(np.argsort(room)[::-1][:2].tolist(), reverse=True):
         displaced.extend(bins.pop(x))
         room.pop(x)
+    _exchange(displaced, bins, room, sizes)
     displaced.sort(key=lambda i: (-sizes[i], i))
     return best_fit(displaced, sizes, capacity, bins, room)
 
 
+def _exchange(displaced, bins, room, sizes):
+    """Displaced pieces take the place of smaller ones where they fill a bin better; what they push out is displaced instead."""
+    held = np.array([i for items in bins for i in items], dtype=np.int64)
+    if not len(held) or not displaced:
+        return
+    of = np.repeat(np.arange(len(bins)), [len(items) for items in bins])
+    size, left = np.array([sizes[i] for i in held]), np.array(room)
+    for d in sorted(range(len(displaced)), key=lambda j: -sizes[displaced[j]]):
+        piece = displaced[d]
+        gap = size + left[of] - sizes[piece]
+        fits = (gap >= 0) & (size < sizes[piece])
+        if not fits.any():
+            continue
+        at = int(np.where(fits, gap, np.iinfo(np.int64).max).argmin())
+        b, pushed = int(of[at]), int(held[at])
+        bins[b][bins[b].index(pushed)] = piece
+        displaced[d], held[at], size[at] = pushed, piece, sizes[piece]
+        room[b] = left[b] = int(gap[at])
+
+
 def _genome(bins, n):
     out = np.zeros(n, dtype=np.int32)
     for b, items in enumerate(bins):
@@ -247,7 +270,7 @@ def _unpack(genome, sizes, capacity):
 
 
 def evolve(sizes: list[int], capacity: int, seed: list[int], guests: list[list[int]]) -> list[int]:
-    """One epoch of one island: the best packing as each piece's bin."""
+    """One epoch of one island: the best packing as each piece's bin. A child replaces the worst if it is better."""
     rng = np.random.default_rng(seed)
     n = len(sizes)
     falling = sorted(range(n), key=lambda i: (-sizes[i], i))
@@ -259,14 +282,17 @@ def evolve(sizes: list[int], capacity: int, seed: list[int], guests: list[list[i
         noisy = np.array(sizes) * (1 + 0.2 * rng.random(n))
         people.append(best_fit(np.argsort(-noisy, kind="stable").tolist(), sizes, capacity))
     people.sort(key=lambda p: fitness(p[1], capacity))
+    idle = 0
     for _ in range(CROSSOVERS):
-        if len(people[0][0]) <= floor or len(people) < 2:
+        if len(people[0][0]) <= floor or len(people) < 2 or idle >= PATIENCE:
             break
+        before = fitness(people[0][1], capacity)
         a, b = rng.choice(len(people), 2, replace=False)
         child = cross(people[int(a)], people[int(b)], sizes, capacity, rng)
         if fitness(child[1], capacity) < fitness(people[-1][1], capacity):
             people[-1] = child
             people.sort(key=lambda p: fitness(p[1], capacity))
+        idle = 0 if fitness(people[0][1], capacity) < before else idle + 1
     return _genome(people[0][0], n).tolist()
 
 
