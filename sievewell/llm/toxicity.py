@@ -13,15 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import prepare
-from .quality import held_out
+from .quality import held_out, labelled
 from .texthash import batches, token_hashes
 
 BUCKETS = 1 << 18
 #: Labelled documents that the chain is fitted on at most, and hashed words it keeps.
 SAMPLE_ROWS = 12_000
 WORDS, STEM_BYTES = 256, 4
+#: Documents that a word must stand in.
+MIN_ROWS = 2
 FOLDS, STEPS, PENALTY = 4, 30, 0.05
-CATEGORIES = ("insult", "abuse", "toxic")
+#: Labels name toxicity as a whole, so the categories before it are groups of telling words.
+CATEGORIES = ("group_1", "group_2", "toxic")
 
 
 def _words(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,19 +75,21 @@ def _probability(logit: np.ndarray) -> np.ndarray:
 
 
 class Chain:
-    """Linear models in the order of their categories."""
-
-    def __init__(self, x: np.ndarray, labels: np.ndarray):
-        fold = np.arange(len(x)) % FOLDS
-        seen, self.models = x, []
-        for c in range(labels.shape[1]):
-            y = labels[:, c]
-            self.models.append(_Linear(seen, y))
-            if c + 1 < labels.shape[1]:
-                unseen = np.zeros(len(x))
-                for k in range(FOLDS):
-                    unseen[fold == k] = _probability(_Linear(seen[fold != k], y[fold != k]).logit(seen[fold == k]))
-                seen = np.column_stack([seen, unseen])
+    """Linear models in the order of their categories; what earlier ones say of a row comes from models, words and groups that were chosen without it."""
+
+    def __init__(self, words: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray):
+        self.kept, x, shows = _features(words, counts, y, np.ones(len(y), bool))
+        fold = np.arange(len(y)) % FOLDS
+        unseen = np.zeros((len(y), len(CATEGORIES) - 1))
+        for k in range(FOLDS):
+            inside = fold != k
+            if y[inside].min() == y[inside].max():
+                continue
+            _, own, own_shows = _features(words, counts, y, inside)
+            for c in range(unseen.shape[1]):
+                known = np.column_stack([own, unseen[:, :c]])
+                unseen[~inside, c] = _probability(_Linear(known[inside], own_shows[inside, c]).logit(known[~inside]))
+        self.models = [_Linear(np.column_stack([x, unseen[:, :c]]), t) for c, t in enumerate([*shows.T, y])]
 
     def tables(self, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weights of words, biases, and weights of earlier categories."""
@@ -95,13 +100,28 @@ class Chain:
         return np.column_stack([m.w[:words] for m in self.models]), np.array([m.b for m in self.models]), earlier
 
 
+def _features(words, counts, y, inside):
+    """(kept words, counts of them, the groups that each row shows), chosen by the rows inside."""
+    kept = _select([w for w, i in zip(words, inside) if i], y[inside])
+    place = np.full(BUCKETS, -1)
+    place[kept] = np.arange(len(kept))
+    x = np.zeros((len(words), len(kept)))
+    for i, w in enumerate(words):
+        at = place[w]
+        x[i, at[at >= 0]] = counts[i][at >= 0]
+    early = len(CATEGORIES) - 1
+    strongest = np.arange(min(len(kept), 16 * early))
+    shows = [(x[:, strongest[c::early]].sum(axis=1) > 0) & (y > 0) for c in range(early)]
+    return kept, x, np.column_stack(shows).astype(float)
+
+
 def _select(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The hashed words that tell the label best, most telling first."""
     ones = [d for d, t in zip(docs, y) if t]
     a = np.bincount(np.concatenate(ones), minlength=BUCKETS) if ones else np.zeros(BUCKETS)
     n = np.bincount(np.concatenate(docs), minlength=BUCKETS)
     p, q = (a + 0.5) / (len(ones) + 1), (n - a + 0.5) / (len(docs) - len(ones) + 1)
-    gain = np.where(n >= 3, p * np.log(p / q) * (p > q), 0)
+    gain = np.where(n >= MIN_ROWS, p * np.log(p / q) * (p > q), 0)
     telling = np.argsort(-gain, kind="stable")[:WORDS]
     return telling[gain[telling] > 0]
 
@@ -109,33 +129,19 @@ def _select(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int):
     """(kept words, tables of the chain) or None without both labels.
 
-    Labels name no categories but toxicity as a whole. The earlier categories of
-    the chain are read off the toxic documents: the most telling words, dealt
-    alternately to the categories, say which of them a toxic document shows.
+    The earlier categories of the chain are read off the toxic documents: the most
+    telling words, dealt alternately to the groups, say which a toxic document shows.
     """
-    y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-    rows = texts.mapInArrow(_present, "doc_id long, y int, words array<int>, counts array<int>").limit(2 * sample_rows).collect()
-    rows.sort(key=lambda r: r["doc_id"])
+    sample = labelled(docs, labels, label_col, id_col, text_col, sample_rows)
+    rows = sorted(sample.select("doc_id", "text", "y").mapInArrow(_present, "doc_id long, y int, words array<int>, counts array<int>").collect())
     y = np.array([r["y"] for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         return None
-    words = [np.array(r["words"], dtype=np.int64) for r in rows]
-    kept = _select(words, y)
-    if not len(kept):
+    words, counts = ([np.array(r[c], dtype=np.int64) for r in rows] for c in ("words", "counts"))
+    if not len(_select(words, y)):
         return None
-    place = np.full(BUCKETS, -1)
-    place[kept] = np.arange(len(kept))
-    x = np.zeros((len(rows), len(kept)))
-    for i, r in enumerate(rows):
-        at = place[words[i]]
-        x[i, at[at >= 0]] = np.array(r["counts"])[at >= 0]
-    early = len(CATEGORIES) - 1
-    strongest = np.arange(min(len(kept), 16 * early))
-    shows = [(x[:, strongest[c::early]].sum(axis=1) > 0) & (y > 0) for c in range(early)]
-    chain = Chain(x, np.column_stack([*shows, y]).astype(float))
-    return kept, chain.tables(len(kept))
+    chain = Chain(words, counts, y)
+    return chain.kept, chain.tables(len(chain.kept))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
