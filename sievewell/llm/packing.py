@@ -27,9 +27,9 @@ from .common import prepare, written
 
 CAPACITY = 2048
 SHARD_PIECES = 4096
-ISLANDS, EPOCHS, POPULATION = 3, 2, 6
+ISLANDS, EPOCHS, POPULATION = 3, 2, 4
 #: An epoch's crossovers at most, and how many may pass without a better child: a packing at the floor takes none.
-CROSSOVERS, PATIENCE = 60, 12
+CROSSOVERS, PATIENCE = 24, 4
 #: A bin filled less is packed again with those of other shards.
 WELL_FILLED = 0.995
 _TOKENIZERS: dict[str, "_WordTokenizer"] = {}
