@@ -37,6 +37,8 @@ _KEPT_WORDS = 400_000
 #: The end of a word; no text word of letters holds it.
 _MARK = "\ue000"
 _LETTERS = re.compile("[a-zà-öø-ÿß]+")
+#: Lines of such letters alone.
+_PLAIN = re.compile("^[a-zà-öø-ÿß]+$", re.M)
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -88,49 +90,36 @@ class _WordTokenizer:
             for w, a, b in zip(part, cuts, cuts[1:]):
                 self.known[w] = raw[a:b]
 
-    def _learn(self, words: list[str]) -> None:
-        letters, other, made = {}, {}, []
+    def _learn(self, words: set[str]) -> None:
+        plain = _PLAIN.findall("\n".join(words))
+        letters, other, made = dict.fromkeys(plain), [], []
         known = self.known
-        for w in words:
-            if w.isalpha() and w.isascii() and w.islower():
-                letters[w] = None
-                continue
+        for w in words.difference(plain):
             base, stop = w.lower(), b""
-            if len(base) > 1 and base[-1] in ".," and base[-2].isalpha():
+            if base[-1] in ".," and base[-2:-1].isalpha():
                 base, stop = base[:-1], self.stops[base[-1]]
             if not _LETTERS.fullmatch(base):
-                other[w] = None
+                other.append(w)
                 continue
             if base not in known:
                 letters[base] = None
-            if base != w:
-                made.append((w, base, stop))
+            made.append((w, base, stop))
         self._merge(list(letters))
-        self._ask(list(other))
+        self._ask(other)
         for w, base, stop in made:
-            self.known[w] = self.known[base] + stop
+            known[w] = known[base] + stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        out: list[bytes | None] = []
-        fresh: set[str] = set()
-        for words in split:
-            found = list(map(self.known.get, words))
-            try:
-                out.append(b"".join(found))
-            except TypeError:
-                out.append(None)
-                fresh.update([w for w, raw in zip(words, found) if raw is None])
+        words = set().union(*split)
+        fresh = words.difference(self.known)
+        if len(self.known) + 2 * len(fresh) > _KEPT_WORDS:
+            self.known = {"": b""}
+            fresh = words.difference(self.known)
         if fresh:
-            again = [i for i, raw in enumerate(out) if raw is None]
-            if len(self.known) + 2 * len(fresh) > _KEPT_WORDS:
-                self.known = {"": b""}
-                fresh = {w for i in again for w in split[i]}
-            self._learn(list(fresh))
-            for i in again:
-                out[i] = b"".join(map(self.known.__getitem__, split[i]))
-        return out
+            self._learn(fresh)
+        return [b"".join(map(self.known.__getitem__, w)) for w in split]
 
 
 def _merger(vocab: dict[str, int], merges: list[tuple[str, str]]):
