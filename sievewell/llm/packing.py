@@ -337,9 +337,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     while True:
         shards = max(1, -(-items.count() // shard_pieces))
         placed = _round(items, shards, capacity, number)
+        last = shards == 1
         badly = F.col("fill") < WELL_FILLED * capacity
-        # Pieces that no dealing packs well, say all just over half, are not dealt for ever.
-        last = shards == 1 or placed.where(badly).count() > items.count() // 2
+        if not last and placed.where(badly).count() > items.count() // 2:
+            # Pieces that no dealing packs well, say all just over half: only each shard's emptiest bin is dealt again.
+            emptiest = placed.groupBy("shard").agg(F.min_by("bin", F.struct("fill", "bin")).alias("emptiest"))
+            placed = placed.join(emptiest, "shard")
+            badly = F.col("bin") == F.col("emptiest")
         settled = placed if last else placed.where(~badly)
         before = "sum(length) over (partition by shard, bin order by length, copy rows between unbounded preceding and 1 preceding)"
         ids = (F.lit(number).cast("long") * (1 << 57) + F.col("shard") * (1 << 20) + F.col("bin")).alias("sequence_id")

@@ -155,3 +155,11 @@ def test_stages_on_edges(spark, documents, labels, tmp_path):
             assert (out.count() > 0) == some, name
             if name != "packing":
                 assert out.columns == columns.columns
+
+
+def test_packing_joins_what_shards_leave(spark):
+    """Three pieces of 600 fill a bin badly, so no round gets better: the rest of each shard must still be put together."""
+    pieces = spark.range(120).selectExpr("id as doc_id", "0 as piece", "0L as start", "600L as length", "0L as ids_crc32")
+    rows = packing.pack(pieces, shard_pieces=20).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.countDistinct("offset").alias("o")).collect()
+    assert sum(r.k for r in rows) == 120 and all(r.n <= 2048 and r.k == r.o for r in rows)
+    assert len(rows) == 40
