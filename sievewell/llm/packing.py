@@ -285,37 +285,70 @@ def evolve(sizes: list[int], capacity: int, seed: list[int], guests: list[list[i
     return _genome(people[0][0], n).tolist()
 
 
+def _seed(capacity: int):
+    """Shards to their packing by best-fit decreasing."""
+
+    def run(parts):
+        for rows in parts:
+            out = []
+            for shard, sizes in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                bins, room = best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, capacity)
+                out.append((shard, -1, _genome(bins, len(sizes)), fitness(room, capacity), len(room) > -(-sum(sizes) // capacity)))
+            yield _packings(out)
+
+    return run
+
+
 def _island(capacity: int, epoch: int):
     def run(parts):
         for rows in parts:
-            got = rows.to_pydict()
-            out = {"shard": got["shard"], "island": got["island"], "genome": [], "cost": []}
+            got, out = rows.to_pydict(), []
             for shard, island, sizes, own, guest in zip(got["shard"], got["island"], got["sizes"], got["genome"], got["guest"]):
                 best = evolve(sizes, capacity, [shard, island, epoch], [own, guest])
-                out["genome"].append(best)
-                out["cost"].append(fitness(_unpack(best, sizes, capacity)[1], capacity))
-            yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int64()), pa.array(out["island"], pa.int32()), pa.array(out["genome"], pa.list_(pa.int32())), pa.array(out["cost"], pa.float64())], names=list(out))
+                room = _unpack(best, sizes, capacity)[1]
+                out.append((shard, island, best, fitness(room, capacity), len(room) > -(-sum(sizes) // capacity)))
+            yield _packings(out)
 
     return run
 
 
+STATE = "shard long, island int, genome array<int>, cost double, open boolean"
+
+
+def _packings(rows) -> pa.RecordBatch:
+    c = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.bool_()))], names=["shard", "island", "genome", "cost", "open"])
+
+
 def _round(items: DataFrame, shards: int, capacity: int, number: int) -> DataFrame:
-    """(shard, bin, fill, item...) of one round; no item is lost, none is in two bins."""
+    """(shard, bin, fill, item...) of one round; no item is lost, none is in two bins.
+
+    A packing of as few bins as the tokens need cannot be bettered: islands start
+    only for shards that best-fit decreasing leaves above, and go on while none is there.
+    """
     fields = [f.name for f in items.schema]
+    # A number given is not lowered: a few shards are little data and much work.
+    tasks = min(shards * ISLANDS, max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 64))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("copy", F.lit(number)), F.lit(shards)).cast("long"))
     base = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("length", *[c for c in fields if c != "length"]))).alias("items"))
     base = written(base.withColumn("sizes", F.col("items.length")), "pack-shards")
-    state = None
+    sizes = base.select("shard", "sizes")
+    state = written(sizes.repartition(tasks, "shard").mapInArrow(_seed(capacity), STATE), "pack-seeds")
+    states = state
     for epoch in range(EPOCHS):
-        if state is None:
-            seeds = base.select("shard", "sizes", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
-            seeds = seeds.withColumn("genome", F.lit(None).cast("array<int>")).withColumn("guest", F.lit(None).cast("array<int>"))
+        still = state.groupBy("shard").agg(F.min("open").alias("open")).where("open").select("shard")
+        if still.isEmpty():
+            break
+        going = state.join(still, "shard").select("shard", "island", "genome")
+        if epoch == 0:
+            going = going.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumn("guest", F.lit(None).cast("array<int>"))
         else:
-            guests = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("genome").alias("guest"))
-            seeds = base.select("shard", "sizes").join(state.drop("cost"), "shard").join(guests, ["shard", "island"])
-        seeds = seeds.select("shard", "island", "sizes", "genome", "guest").repartition("shard", "island")
-        state = written(seeds.mapInArrow(_island(capacity, epoch), "shard long, island int, genome array<int>, cost double"), "pack-islands")
-    best = state.groupBy("shard").agg(F.min_by("genome", F.struct("cost", "island")).alias("genome"))
+            guests = going.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("genome").alias("guest"))
+            going = going.join(guests, ["shard", "island"])
+        going = sizes.join(going, "shard").select("shard", "island", "sizes", "genome", "guest").repartition(tasks, "shard", "island")
+        state = written(going.mapInArrow(_island(capacity, epoch), STATE), "pack-islands")
+        states = states.union(state)
+    best = states.groupBy("shard").agg(F.min_by("genome", F.struct("cost", "island")).alias("genome"))
     placed = base.join(best, "shard").select("shard", F.explode(F.arrays_zip("items", "genome")).alias("x")).select("shard", F.col("x.genome").alias("bin"), "x.items.*")
     fill = placed.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
     return written(placed.join(fill, ["shard", "bin"]), "pack-placed")
