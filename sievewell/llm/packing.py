@@ -33,7 +33,8 @@ CROSSOVERS, PATIENCE = 60, 12
 #: A bin filled less is packed again with those of other shards.
 WELL_FILLED = 0.995
 _TOKENIZERS: dict[str, "_WordTokenizer"] = {}
-_KEPT_WORDS = 400_000
+#: Words a worker knows at most, some 200 bytes each; fewer are asked for again more often.
+_KEPT_WORDS = 800_000
 #: The end of a word; no text word of letters holds it.
 _MARK = "\ue000"
 _LETTERS = re.compile("[a-zà-öø-ÿß]+")
@@ -224,11 +225,15 @@ def cross(a, b, sizes, capacity, rng):
 
 
 def _exchange(displaced, bins, room, sizes):
-    """Displaced pieces take the place of smaller ones where they fill a bin better; what they push out is displaced instead."""
-    held = np.array([i for items in bins for i in items], dtype=np.int64)
+    """Displaced pieces take the place of smaller ones where they fill a bin better; what they push out is displaced instead.
+
+    A full bin takes no larger piece and a bin's room only falls, so only bins that have room are looked at.
+    """
+    roomy = [b for b, r in enumerate(room) if r > 0]
+    held = np.array([i for b in roomy for i in bins[b]], dtype=np.int64)
     if not len(held) or not displaced:
         return
-    of = np.repeat(np.arange(len(bins)), [len(items) for items in bins])
+    of = np.repeat(np.array(roomy), [len(bins[b]) for b in roomy])
     size, left = np.array([sizes[i] for i in held]), np.array(room)
     for d in sorted(range(len(displaced)), key=lambda j: -sizes[displaced[j]]):
         piece = displaced[d]
