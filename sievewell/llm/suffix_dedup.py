@@ -84,20 +84,23 @@ def _cells(window: int, cell: int):
 
     def run(parts):
         for rows in parts:
-            out = []
+            out, of = [], []
             for anchor, weight, row, start, lead, raw in zip(*(rows.column(c).to_pylist() for c in ("anchor", "weight", "row", "start", "lead", "bytes"))):
                 data = np.frombuffer(raw, dtype=np.uint8)
                 sums = prefix_sums(data)
                 n = len(data) - window + 1
-                edges = np.unique(np.clip(np.arange(lead % cell - cell, n + cell, cell), 0, n))
+                edges = np.array([0, *range(lead % cell or cell, n, cell), n])
                 first, stop = edges[:-1], edges[1:]
                 place = (first - lead) // cell
                 # The common bytes of the whole cell: from its last window's start to its first window's end.
                 low, high = (place + 1) * cell - 1 + lead, place * cell + lead + window
-                out.append((np.full(len(first), anchor), span_hashes(sums, low, high - low) ^ place.astype(_U), span_hashes(sums, first, stop - first + window - 1) + (first - lead - place * cell).astype(_U), np.full(len(first), weight), np.full(len(first), row), np.full(len(first), start), first, stop - first))
+                out.append((span_hashes(sums, low, high - low) ^ place.astype(_U), span_hashes(sums, first, stop - first + window - 1) + (first - lead - place * cell).astype(_U), first, stop - first))
+                of.append((anchor, weight, row, start))
             if out:
-                c = [np.concatenate(x) for x in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), _signed(c[1]), _signed(c[2]), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.int64()), pa.array(c[6], pa.int32()), pa.array(c[7], pa.int32())], names=["anchor", "common", "content", "weight", "row", "start", "first", "n"])
+                cells = [len(o[0]) for o in out]
+                common, content, first, n = (np.concatenate(x) for x in zip(*out))
+                anchor, weight, row, start = (np.repeat(np.array(x, dtype=np.int64), cells) for x in zip(*of))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), _signed(common), _signed(content), pa.array(weight, pa.int32()), pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32())], names=["anchor", "common", "content", "weight", "row", "start", "first", "n"])
 
     return run
 
