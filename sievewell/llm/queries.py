@@ -11,11 +11,14 @@ from .additive_ann import nearest
 from .common import table
 from .embedding_near_dup import near_duplicates
 from .html_text import extract
+from .filter_audit import audit, oracle as audit_oracle
 from .packing import pack, token_pieces
 from .quality import score_documents
+from .spelling import spelling_variants
 from .suffix_dedup import remove_repeats
 from .token_group_join import jaccard_components
 from .toxicity import toxicity
+from .vector_file import oracle as top_oracle, top_products
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +65,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle_words=3, similarity=(9, 10))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the form and root that each varies; edges as in ``spelling_variants``."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language's documents in all 120 orders; edges as in ``audit``."""
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest inner products of each 50th vector with all others; edges as in ``top_products``."""
+    rows = table(spark, sf_dir, "embeddings")
+    return top_products(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -73,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_additive_ann": op9_additive_ann,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 
-ORACLES: dict[str, str] = {"op5_secret_scan": secret_scan.oracle()}
+ORACLES: dict[str, str] = {"op5_secret_scan": secret_scan.oracle(), "op12_filter_audit": audit_oracle(), "op13_exact_top_k": top_oracle()}
