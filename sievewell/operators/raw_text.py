@@ -65,8 +65,9 @@ def _policy(flags: dict[str, str], otherwise: str) -> str:
     return f"case when {flags['no']} then 'Onsite-only' when {flags['hybrid']} or ({flags['remote']} and {flags['onsite']}) then 'Hybrid' when {flags['remote']} then 'Remote' when {flags['onsite']} then 'Onsite-only' else {otherwise} end"
 
 
-def stages(d: Spark, raw: str = "raw_text") -> list[dict[str, str]]:
-    """Staged columns over a raw text; the last two hold the posting and its warnings."""
+def stages(d: Spark, raw: str = "raw_text", company: str | None = None, title: str | None = None) -> list[dict[str, str]]:
+    """Staged columns over a raw text; the last two hold the posting and its warnings. ``company`` and ``title`` override labels where they are not empty."""
+    over = lambda x, label: f"coalesce(nullif(trim({x}), ''), {label})" if x else label
     first = lambda xs: d.at(xs, "1")
     said = lambda words: f"{d.size(d.keep('r_policy_lines', lambda x: d.inside(x, words)))} > 0"
     label = lambda words: d.inside("lower(r_remote)", words)
@@ -82,7 +83,7 @@ def stages(d: Spark, raw: str = "raw_text") -> list[dict[str, str]]:
     return [
         {"r_lines": d.lines(f"coalesce({raw}, '')"), "r_low": f"lower(coalesce({raw}, ''))"},
         {
-            "r_company": _labelled(d, COMPANY_LABELS), "r_title": _labelled(d, TITLE_LABELS), "r_location": _labelled(d, LOCATION_LABELS), "r_salary": _labelled(d, SALARY_LABELS), "r_remote": _labelled(d, REMOTE_LABELS),
+            "r_company": over(company, _labelled(d, COMPANY_LABELS)), "r_title": over(title, _labelled(d, TITLE_LABELS)), "r_location": _labelled(d, LOCATION_LABELS), "r_salary": _labelled(d, SALARY_LABELS), "r_remote": _labelled(d, REMOTE_LABELS),
             "r_currency": first(d.keep(d.each("r_lines", lambda x: d.trimmed(d.extract(x, CURRENCY_RANGE))), lambda v: f"{v} <> ''", "v")),
             "r_candidates": d.keep(d.each("r_lines", lambda x: _candidate(d, x)), lambda v: f"{v} <> ''", "v"),
             "r_policy_lines": d.keep(d.each("r_lines", lambda x: f"lower({x})"), lambda v: f"not {d.inside(v, NOT_POLICY)}", "v"),
