@@ -1,11 +1,15 @@
 """Vectorised hashing of words and word shingles over a batch of texts.
 
 A batch is one byte buffer. A word's hash is a polynomial over its bytes modulo
-2**64, read from prefix sums, so no Python loop runs per word.
+2**64, read from prefix sums, so no Python loop runs per word. From some hundred
+bytes on there are words made to collide under every such polynomial, so long ones,
+which are rare, are hashed by a cryptographic function.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
@@ -19,6 +23,8 @@ _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 _POWERS: list[np.ndarray] = []
 #: Texts hashed together; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
+#: Words of more bytes get a cryptographic hash; crafted collisions of the polynomial begin at 1024.
+LONG_WORD = 255
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,9 +75,12 @@ def word_hashes(part: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.n
     before[1:] = space[:-1]
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(space & ~before)
-    sums = prefix_sums(_LOWER[data] if lower else data)
+    read = _LOWER[data] if lower else data
+    sums = prefix_sums(read)
     _, down = powers(len(data) + 1)
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        hashes[i] = int.from_bytes(hashlib.blake2b(read[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     bounds = np.zeros(len(part) + 1, dtype=np.int64)
     np.cumsum([len(b) + 1 for b in part], out=bounds[1:])
     return hashes, np.searchsorted(starts, bounds)
