@@ -17,16 +17,12 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.markup import INLINE as _INLINE, RAW as _RAW, Node, attributes, parse
 from .common import prepare, written
 
 #: A subtree is a template if it stands on this many pages of a host, however large: templates rotate.
 MIN_PAGES = 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _DROPPED = frozenset("head nav header footer aside form script style noscript template iframe svg math button select input textarea object embed canvas dialog menu audio video map title".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _DROPPED_WORDS = frozenset(
@@ -36,83 +32,62 @@ _DROPPED_WORDS = frozenset(
 )
 _ROOTS = frozenset(("article", "main", "body", "html"))
 _CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center nav header footer aside form".split())
-_CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "thead", "tbody", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
-
-
-class Node:
-    __slots__ = ("tag", "attributes", "start", "end", "children")
-
-    def __init__(self, tag, attributes, start):
-        self.tag, self.attributes, self.start, self.end, self.children = tag, attributes, start, None, []
-
-
-def parse(page: str) -> Node:
-    """The element tree; children are nodes or (start, end) of text. Errors are repaired as browsers do, roughly."""
-    root = Node("#page", "", 0)
-    stack, at = [root], 0
-
-    def close(depth, end):
-        while len(stack) > depth:
-            stack.pop().end = end
-
-    def open_depth(tags, barrier):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in barrier:
-                return 0
-        return 0
-
-    pos = 0
-    while True:
-        m = _TOKEN.search(page, pos)
-        if m is None:
-            break
-        if m.start() > at:
-            stack[-1].children.append((at, m.start()))
-        at = pos = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            depth = open_depth({tag}, ())
-            if depth:
-                close(depth, m.end())
-            continue
-        if tag in _CLOSES_P and (depth := open_depth({"p"}, {"article", "main", "div", "section", "td", "th", "body", "button"})):
-            close(depth, m.start())
-        if tag in _SIBLINGS and (depth := open_depth(*_SIBLINGS[tag])):
-            close(depth, m.start())
-        node = Node(tag, m[3], m.start())
-        stack[-1].children.append(node)
-        if tag in _VOID:
-            node.end = m.end()
-            continue
-        stack.append(node)
-        if tag in _RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, pos)
-            at = pos = stop.start() if stop else len(page)
-    if at < len(page):
-        stack[-1].children.append((at, len(page)))
-    close(0, len(page))
-    return root
+#: Words of a name that say nothing by themselves, so that "related-posts" is told by its first word and "related-work" is not.
+_NEUTRAL_WORDS = frozenset("a area article articles bar block body bottom box boxes btn button center col column container content element footer fixed global group header holder inner item items js layer left link links list main message module number outer page panel pane posts primary region right root row secondary section site slot small stories sticky top unit view web wrap wrapper".split())
+#: Words that name parts of articles as well: they count only where there is no prose.
+_WEAK_WORDS = frozenset("related recommended social share sharing promo promotion banner notice notices discussion reply replies overlay skip subscribe login signup search".split())
+#: Words of an element, outside its links, that are prose.
+PROSE_WORDS = 25
+
 
+def _names(found: dict[str, str]) -> list[list[str]]:
+    """The class names and the id, each as its words."""
+    return [[w for w in re.split(r"[^a-z0-9]+", name) if w] for name in [*found.get("class", "").lower().split(), found.get("id", "").lower()]]
 
-def _is_dropped(node: Node) -> bool:
+
+def _measures(page: str, root: Node) -> tuple[dict[int, int], set[int]]:
+    """Of all elements by their ``id``: the words outside links and dropped elements, and which hold a main heading outside menus and forms; children first, each once."""
+    order = [root]
+    for node in order:
+        order.extend(c for c in node.children if isinstance(c, Node))
+    words, titled = {}, set()
+    for node in reversed(order):
+        n = 0
+        for c in node.children:
+            if isinstance(c, tuple):
+                n += len(page[c[0] : c[1]].split())
+            else:
+                n += 0 if c.tag == "a" or c.tag in _DROPPED else words[id(c)]
+                if id(c) in titled and c.tag not in ("nav", "form", "ul", "ol"):
+                    titled.add(id(node))
+        words[id(node)] = n
+        if node.tag in ("h1", "h2"):
+            titled.add(id(node))
+    return words, titled
+
+
+def _is_dropped(measures, node: Node, inside: bool = False) -> bool:
+    """Whether an element says that it is not part of the article; ``inside``: it stands in the article itself, whose header is its own."""
+    words_of, titled = measures
     if node.tag in _DROPPED:
-        return True
+        return not (inside and node.tag == "header" and id(node) in titled)
     if not node.attributes or node.tag in ("html", "body"):
         return False
-    found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(node.attributes)}
+    found = {k: v.lower() for k, v in attributes(node.attributes).items()}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in _DROPPED_ROLES:
         return True
     if re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
     if node.tag == "main":
         return False
-    words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    return not words.isdisjoint(_DROPPED_WORDS)
+    told = set()
+    for words in _names(found):
+        # A name tells if all of its words do, or say nothing.
+        if all(w in _DROPPED_WORDS or w in _NEUTRAL_WORDS or w.isdigit() for w in words):
+            told |= {w for w in words if w in _DROPPED_WORDS}
+    if inside and told == {"header"} and id(node) in titled:
+        return False
+    return bool(told - _WEAK_WORDS) or bool(told) and words_of[id(node)] < PROSE_WORDS
 
 
 def subtree_hashes(page: str, root: Node) -> dict[int, int]:
@@ -158,12 +133,13 @@ def subtrees(page: str, root: Node) -> dict[int, bool]:
 
 
 def main_text(page: str, root: Node, templates: set[int] = frozenset()) -> str:
-    """The blocks of the article, or of the main element or body where there is none."""
+    """The blocks of the article with the most text, or of the main element or body where there is none."""
     articles, mains, bodies = [], [], []
+    measures = _measures(page, root)
     stack = [root]
     while stack:
         node = stack.pop()
-        if node is not root and _is_dropped(node):
+        if node is not root and _is_dropped(measures, node):
             continue
         if node.tag == "article":
             articles.append(node)
@@ -183,7 +159,8 @@ def main_text(page: str, root: Node, templates: set[int] = frozenset()) -> str:
             words.clear()
 
     hashes = subtree_hashes(page, root) if templates else {}
-    todo: list = list((articles or mains[:1] or bodies[:1] or [root])[::-1])
+    # Of several articles the one with the most words, the first of equals; others are teasers or comments.
+    todo: list = [max(articles, key=lambda n: measures[0][id(n)])] if articles else list((mains[:1] or bodies[:1] or [root])[::-1])
     first = set(map(id, todo))
     while todo:
         item = todo.pop()
@@ -194,8 +171,10 @@ def main_text(page: str, root: Node, templates: set[int] = frozenset()) -> str:
             words.append(html.unescape(text) if "&" in text else text)
         else:
             if id(item) not in first and item is not root:
-                if _is_dropped(item) or (templates and item.tag in _CONTAINERS and hashes[id(item)] in templates):
+                if (item.tag == "article" and articles) or _is_dropped(measures, item, bool(articles)) or (templates and item.tag in _CONTAINERS and hashes[id(item)] in templates):
                     continue
+            if item.tag in _RAW:
+                continue
             if item.tag == "br":
                 words.append(" ")
             elif item.tag in _INLINE:

@@ -22,46 +22,56 @@ from .vector_file import oracle as top_oracle, top_products
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors at cosine 0.93; edges as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.93)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents in sequences of 2048; edges as in ``token_pieces`` and ``pack``."""
     return pack(token_pieces(table(spark, sf_dir, "documents")))
 
 
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; edges as in ``toxicity``."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; edges as in ``extract``."""
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document as counts, digests and spans; edges as in ``scan``."""
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of every document as repeats of 400 bytes, and its repeated passages of over 50 words; edges as in ``remove_repeats``."""
     kept = remove_repeats(table(spark, sf_dir, "documents"), window=400, passage_counts=True)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_bytes")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again; edges as in ``encode``."""
     both = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document; edges as in ``score_documents``."""
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every 100th vector; edges as in ``nearest``."""
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components at Jaccard similarity 0.9 of three-word shingles; edges as in ``jaccard_components``."""
     return jaccard_components(table(spark, sf_dir, "documents"), shingle_words=3, similarity=(9, 10))
 
 

@@ -1,9 +1,10 @@
-"""Spelling variants, the filter audit and exact top-k search against brute force, and on odd tables."""
+"""Spelling variants, the filter audit and exact top-k search against brute force, and on odd tables; crafted words, odd and hostile markup."""
 
 import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievewell.llm import filter_audit, spelling, vector_file
+from sievewell.llm import filter_audit, html_text, spelling, vector_file
+from sievewell.llm.token_group_join import jaccard_components
 
 SF = "/root/testdata/sf0.001"
 _EXTRA = ["cast(1 as int) as word", "'x' as part", "0.5D as n", "'y' as ends", "7L as length", "array(1) as vector", "'q' as digest", "'u' as mask", "1 as members"]
@@ -182,3 +184,42 @@ def test_top_products_against_sql(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = vector_file.top_products(df, df.where("vec_id % 50 = 0"))
     assert sorted(map(tuple, got.collect()), key=repr) == _sql(vector_file.oracle())
+
+
+_ARTICLE = "<p>" + " ".join(f"word{i}" for i in range(60)) + "</p>"
+
+
+@pytest.mark.parametrize("page, want, gone", [
+    (f'<body><article><div class="article-header"><h1>Title</h1></div>{_ARTICLE}</article></body>', ["Title", "word59"], []),
+    (f"<body><header>Site</header><article><header><h1>Title</h1><nav>menu</nav></header>{_ARTICLE}</article></body>", ["Title", "word59"], ["Site", "menu"]),
+    (f'<body><article>{_ARTICLE}<div class="related-work"><p>Others did this before.</p></div></article></body>', ["Others did"], []),
+    (f'<body><article>{_ARTICLE}<section id="social"><h2>Social life</h2><p>{"They met often and wrote letters. " * 6}</p></section><div class="social-links">Share it</div></article></body>', ["Social life", "wrote letters"], ["Share it"]),
+    (f'<body><article class="teaser"><h2>Other news</h2></article><article>{_ARTICLE}<article class="c1">I, a reader, disagree.</article></article><article>Second comment</article></body>', ["word0"], ["Other news", "disagree", "Second"]),
+    (f'<body><article>{_ARTICLE}<div class="related-posts"><a href="/x">More of it</a></div><div class="comments-list">{"A reader writes at length. " * 30}</div></article></body>', ["word59"], ["More of it", "reader writes"]),
+], ids=["header-class", "header-element", "related-work", "social", "articles", "boxes"])
+def test_article_parts_stay_and_boxes_go(page, want, gone):
+    text = html_text.main_text(page, html_text.parse(page))
+    assert all(w in text for w in want) and not any(g in text for g in gone)
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<article>" + '<div class="related">' * 30_000 + "word " * 30, "<p>" * 100_000 + "x", '<a href="x>' * 50_000], ids=["unclosed", "unmatched", "nested", "paragraphs", "quotes"])
+def test_hostile_pages_end(spark, page):
+    began = time.time()
+    html_text.subtree_hashes(page, html_text.parse(page))
+    html_text.main_text(page, html_text.parse(page))
+    assert time.time() - began < 15
+    rows = html_text.extract(spark.createDataFrame([(1, "http://a.example/1", page)], "page_id long, url string, html string")).collect()
+    assert len(rows) == 1
+
+
+def test_crafted_words_are_told_apart(spark):
+    """Thue-Morse words and their complements collide under every polynomial modulo a power of two."""
+    import corpus_pipeline
+
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, morse), (2, other), (3, f"x {morse} y z u v"), (4, f"x {other} y z u v"), (5, morse.upper())], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    full = docs.selectExpr("*", "'en' as lang", "'s' as source", "cast(0 as long) as n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, full, "").collect()) == [1, 2, 3, 4]
