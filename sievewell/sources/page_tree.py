@@ -14,7 +14,8 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.markup import INLINE, Node, attributes, parse
+from ..functions.markup import INLINE, attributes, parse
+from ..session import workers_import
 
 # Elements that are removed first; content roots beside the body; what may hold a posting; headings within it.
 NOISE = frozenset(("script", "style", "noscript", "svg", "footer", "nav"))
@@ -177,7 +178,7 @@ def _facts(batches):
     for rows in batches:
         if kinds is None:
             kinds = pa.schema([(n, t) for n, t in _ARROW])
-        found = [facts(page or "", (url or "").strip()) for page, url in zip(rows.column("html").to_pylist(), rows.column("url").to_pylist())]
+        found = [facts(page or "", (url or "").strip()) for page, url in zip(rows.column("p_html").to_pylist(), rows.column("p_url").to_pylist())]
         out = pa.Table.from_pylist(found, schema=kinds)
         columns = [*rows.columns[: rows.num_columns - 2], *(c.combine_chunks() for c in out.columns)]
         yield pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names[:-2], *out.schema.names])
@@ -195,5 +196,6 @@ _ARROW = (
 
 def page_facts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key`` and the facts of every page; a null page or address counts as empty. Repeated pages give repeated rows."""
-    rows = pages.select(key, F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    workers_import(pages.sparkSession)
+    rows = pages.select(key, F.col(url).cast("string").alias("p_url"), F.col(html).cast("string").alias("p_html"))
     return rows.mapInArrow(_facts, f"{key} {dict(rows.dtypes)[key]}, {FACTS}")
