@@ -20,11 +20,13 @@ from .common import prepare, release, written
 from .texthash import prefix_sums
 
 WINDOW = 400
-CELL = 16
+CELL = 32
 #: A passage is a repeat of more words, found by windows of fewer bytes: over 50 ordinary words reach them.
 PASSAGE_WORDS, PASSAGE_BYTES = 50, 220
 #: Bits of the filter that spares texts without open runs a shuffle; its size is fixed.
 FILTER_BITS = 1 << 22
+#: Runs whose bytes a task hands on at once.
+SLICE_RUNS = 2000
 _U = np.uint64
 
 
@@ -62,15 +64,26 @@ def _runs(window: int):
 
 def _slices(window: int):
     """(text, runs) to the bytes of each run."""
+    kinds = {"anchor": pa.int64(), "content": pa.int64(), "weight": pa.int32(), "row": pa.int64(), "start": pa.int64(), "lead": pa.int32()}
+
+    def batch(held):
+        runs = pa.concat_arrays([r for r, _ in held])
+        columns = [runs.field(c).cast(kind) for c, kind in kinds.items()]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([b for _, bs in held for b in bs], pa.binary())], names=[*kinds, "bytes"])
 
     def run(parts):
+        held, size = [], 0
         for rows in parts:
-            for text, runs in zip(rows.column(0), rows.column(1).to_pylist()):
-                raw = text.as_buffer().to_pybytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["anchor"] for r in runs], pa.int64()), pa.array([r["content"] for r in runs], pa.int64()), pa.array([r["weight"] for r in runs], pa.int32()), pa.array([r["row"] for r in runs], pa.int64()), pa.array([r["start"] for r in runs], pa.int64()), pa.array([r["lead"] for r in runs], pa.int32()), pa.array([raw[r["start"] : r["start"] + r["n"] + window - 1] for r in runs], pa.binary())],
-                    names=["anchor", "content", "weight", "row", "start", "lead", "bytes"],
-                )
+            for text, runs in zip(rows.column(0), rows.column(1)):
+                raw, runs = text.as_buffer().to_pybytes(), runs.values
+                low, n = (runs.field(c).to_numpy().tolist() for c in ("start", "n"))
+                held.append((runs, [raw[a : a + k + window - 1] for a, k in zip(low, n)]))
+                size += len(low)
+                if size >= SLICE_RUNS:
+                    yield batch(held)
+                    held, size = [], 0
+        if held:
+            yield batch(held)
 
     return run
 
@@ -79,28 +92,37 @@ def _cells(window: int, cell: int):
     """Runs to cells: places are counted from the anchor, so that equal windows lie in equal cells.
 
     ``common`` hashes the bytes that all windows of a whole cell share, ``content``
-    those that its windows in this run cover.
+    those that its windows in this run cover. The runs of a batch are one buffer.
     """
 
     def run(parts):
         for rows in parts:
-            out, of = [], []
-            for anchor, weight, row, start, lead, raw in zip(*(rows.column(c).to_pylist() for c in ("anchor", "weight", "row", "start", "lead", "bytes"))):
-                data = np.frombuffer(raw, dtype=np.uint8)
-                sums = prefix_sums(data)
-                n = len(data) - window + 1
-                edges = np.array([0, *range(lead % cell or cell, n, cell), n])
-                first, stop = edges[:-1], edges[1:]
-                place = (first - lead) // cell
-                # The common bytes of the whole cell: from its last window's start to its first window's end.
-                low, high = (place + 1) * cell - 1 + lead, place * cell + lead + window
-                out.append((span_hashes(sums, low, high - low) ^ place.astype(_U), span_hashes(sums, first, stop - first + window - 1) + (first - lead - place * cell).astype(_U), first, stop - first))
-                of.append((anchor, weight, row, start))
-            if out:
-                cells = [len(o[0]) for o in out]
-                common, content, first, n = (np.concatenate(x) for x in zip(*out))
-                anchor, weight, row, start = (np.repeat(np.array(x, dtype=np.int64), cells) for x in zip(*of))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), _signed(common), _signed(content), pa.array(weight, pa.int32()), pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32())], names=["anchor", "common", "content", "weight", "row", "start", "first", "n"])
+            if not rows.num_rows:
+                continue
+            raw = rows.column("bytes")
+            offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+            data = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+            base, n = offsets[:-1] - offsets[0], np.diff(offsets) - window + 1
+            sums = prefix_sums(data)
+            lead = rows.column("lead").to_numpy().astype(np.int64)
+            # Cells begin at 0, at the first place a whole number of cells from the anchor, and every cell from there.
+            begin = np.where(lead % cell == 0, cell, lead % cell)
+            k = 1 + np.maximum(0, -(-(n - begin) // cell))
+            of = np.repeat(np.arange(len(n)), k)
+            j = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+            first = np.where(j == 0, 0, begin[of] + (j - 1) * cell)
+            stop = np.where(j == k[of] - 1, n[of], begin[of] + j * cell)
+            lead, base = lead[of], base[of]
+            place = (first - lead) // cell
+            # The common bytes of the whole cell: from its last window's start to its first window's end.
+            low, high = (place + 1) * cell - 1 + lead, place * cell + lead + window
+            common = span_hashes(sums, base + low, high - low) ^ place.astype(_U)
+            content = span_hashes(sums, base + first, stop - first + window - 1) + (first - lead - place * cell).astype(_U)
+            each = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("anchor").take(each), _signed(common), _signed(content), *(rows.column(c).take(each) for c in ("weight", "row", "start")), pa.array(first.astype(np.int32)), pa.array((stop - first).astype(np.int32))],
+                names=["anchor", "common", "content", "weight", "row", "start", "first", "n"],
+            )
 
     return run
 
@@ -193,15 +215,27 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     return out
 
 
-def _covered(found, window: int) -> list[tuple[int, int]]:
-    """The maximal stretches that the windows of runs (start, n) cover."""
-    spans: list[tuple[int, int]] = []
-    for low, n in sorted((r["start"], r["n"]) for r in found or []):
-        high = low + n + window - 1
-        if spans and low <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(high, spans[-1][1]))
-        else:
-            spans.append((low, high))
+def _covered(found: pa.ListArray, window: int) -> list[list[tuple[int, int]]]:
+    """Of each row the maximal stretches that the windows of its runs (start, n) cover; all rows at once."""
+    counts = np.diff(found.offsets.to_numpy())
+    runs = found.flatten()
+    start, n = (runs.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
+    if found.null_count:
+        counts = np.where(found.is_null().to_numpy(zero_copy_only=False), 0, counts)
+    spans: list[list[tuple[int, int]]] = [[] for _ in range(len(counts))]
+    if not len(start):
+        return spans
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((start, row))
+    row, low, high = row[order], start[order], (start + n + window - 1)[order]
+    # Rows lie far apart on one line, so that the largest end so far is that of the same row.
+    far = int(high.max()) + 2
+    reach = np.maximum.accumulate(high + row * far)
+    new = np.append(True, low[1:] + row[1:] * far > reach[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(low)) - 1
+    for r, a, b in zip(row[first].tolist(), low[first].tolist(), (reach[last] - row[last] * far).tolist()):
+        spans[r].append((a, b))
     return spans
 
 
@@ -211,9 +245,9 @@ def _regions(short: int, window: int, over_words: int):
     def run(parts):
         for rows in parts:
             out = []
-            for row, raw, found in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2).to_pylist()):
+            for row, raw, spans in zip(rows.column(0).to_pylist(), rows.column(1), _covered(rows.column(2), short)):
                 raw = raw.as_buffer().to_pybytes()
-                for low, high in _covered(found, short):
+                for low, high in spans:
                     over = len(raw[low:high].split()) > over_words
                     if over or high - low >= window:
                         out.append((row, low, over, high - low, raw[low:high] if high - low >= window else None))
@@ -228,9 +262,8 @@ def _keep(window: int, as_text: bool, over_words: int):
     def run(parts):
         for rows in parts:
             out = []
-            for doc, text, found in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2).to_pylist()):
+            for doc, text, spans in zip(rows.column(0).to_pylist(), rows.column(1), _covered(rows.column(2), window)):
                 raw = text.as_buffer().to_pybytes()
-                spans = _covered(found, window)
                 if over_words:
                     spans = [(a, b) for a, b in spans if b - a >= WINDOW or len(raw[a:b].split()) > over_words]
                 kept, at = [], 0
