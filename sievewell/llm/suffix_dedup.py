@@ -35,7 +35,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _runs(window: int):
-    """Texts to runs: (anchor, content, row, start, n, lead)."""
+    """Texts to runs: (anchor, content, n, lead, members), equal ones of a batch together, as members (row, start): of a large group of copies few rows are shuffled."""
 
     def run(parts):
         for rows in parts:
@@ -57,7 +57,13 @@ def _runs(window: int):
 
     def batch(out):
         c = [np.concatenate(x) for x in zip(*out)]
-        return pa.RecordBatch.from_arrays([_signed(c[0]), _signed(c[1]), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.int32())], names=["anchor", "content", "row", "start", "n", "lead"])
+        order = np.lexsort((c[1], c[0]))
+        anchor, content, row, start, n, lead = (x[order] for x in c)
+        same = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1]) & (n[1:] == n[:-1]) & (lead[1:] == lead[:-1])
+        first = np.flatnonzero(np.append(True, ~same))
+        members = pa.StructArray.from_arrays([pa.array(row, pa.int64()), pa.array(start, pa.int64())], names=["row", "start"])
+        members = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), members)
+        return pa.RecordBatch.from_arrays([_signed(anchor[first]), _signed(content[first]), pa.array(n[first], pa.int32()), pa.array(lead[first], pa.int32()), members], names=["anchor", "content", "n", "lead", "members"])
 
     return run
 
@@ -184,9 +190,12 @@ def _maybe(bits):
 def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row, start, n): runs of window starts of (row, bytes) whose window starts elsewhere too."""
     spark = prepare(texts.sparkSession)
-    runs = written(texts.mapInArrow(_runs(window), "anchor long, content long, row long, start long, n int, lead int"), "sd-runs")
-    judged = written(_told_apart(runs.withColumn("weight", F.lit(1)), ["anchor"], ["row", "start", "n", "lead"]), "sd-classes")
-    whole = runs.join(judged.where("w >= 2").select("anchor", "content"), ["anchor", "content"], "left_semi").select("row", "start", "n")
+    runs = written(texts.mapInArrow(_runs(window), "anchor long, content long, n int, lead int, members array<struct<row: bigint, start: bigint>>"), "sd-runs")
+    flat = runs.select("anchor", "content", F.size("members").alias("weight"), F.col("members")[0]["row"].alias("row"), F.col("members")[0]["start"].alias("start"), "n", "lead")
+    judged = written(_told_apart(flat, ["anchor"], ["row", "start", "n", "lead"]), "sd-classes")
+    # Members are dealt evenly before they become rows, as those of a frequent run meet in one task.
+    again = runs.join(judged.where("w >= 2").select("anchor", "content"), ["anchor", "content"], "left_semi").select("n", "members").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = again.select("n", F.explode("members").alias("m")).select("m.row", "m.start", "n")
     whole = written(whole, "sd-whole")
 
     weight = F.least("w", F.lit(2)).cast("int").alias("weight")
