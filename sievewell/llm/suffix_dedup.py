@@ -25,6 +25,8 @@ CELL = 32
 PASSAGE_WORDS, PASSAGE_BYTES = 50, 220
 #: Bits of the filter that spares texts without open runs a shuffle; its size is fixed.
 FILTER_BITS = 1 << 22
+#: Members of a row of equal runs; more make several rows, so that rows can be dealt evenly.
+RUN_MEMBERS = 16
 #: Runs whose bytes a task hands on at once.
 SLICE_RUNS = 2000
 _U = np.uint64
@@ -60,7 +62,9 @@ def _runs(window: int):
         order = np.lexsort((c[1], c[0]))
         anchor, content, row, start, n, lead = (x[order] for x in c)
         same = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1]) & (n[1:] == n[:-1]) & (lead[1:] == lead[:-1])
-        first = np.flatnonzero(np.append(True, ~same))
+        new = np.append(True, ~same)
+        place = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        first = np.flatnonzero(place % RUN_MEMBERS == 0)
         members = pa.StructArray.from_arrays([pa.array(row, pa.int64()), pa.array(start, pa.int64())], names=["row", "start"])
         members = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), members)
         return pa.RecordBatch.from_arrays([_signed(anchor[first]), _signed(content[first]), pa.array(n[first], pa.int32()), pa.array(lead[first], pa.int32()), members], names=["anchor", "content", "n", "lead", "members"])
