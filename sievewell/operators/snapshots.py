@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.dialect import SPARK, Spark
+from .numbering import numbered
 
 _FIELDS = ("company_name", "title", "location", "salary_range", "remote_policy")
 
@@ -25,10 +26,9 @@ def key_expressions(d: Spark) -> dict[str, str]:
 
 
 def keyed(postings: DataFrame) -> DataFrame:
-    """Adds job_key and fingerprint. Repeated keys are numbered in input order."""
+    """Adds job_key and fingerprint. Repeated keys are numbered in input order, however often one repeats."""
     out = postings.selectExpr("*", *[f"{e} as {n}" for n, e in key_expressions(SPARK).items()])
-    turn = F.row_number().over(W.partitionBy("base_key").orderBy("ordinal"))
-    return out.withColumn("turn", turn).withColumn("job_key", F.when(F.col("turn") == 1, F.col("base_key")).otherwise(F.concat("base_key", F.lit("#"), F.col("turn").cast("string")))).drop("turn")
+    return numbered(out, ("base_key",), "ordinal").withColumn("job_key", F.when(F.col("turn") == 1, F.col("base_key")).otherwise(F.concat("base_key", F.lit("#"), F.col("turn").cast("string")))).drop("turn")
 
 
 def keyed_sql(d: Spark, source: str) -> str:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dialect import SPARK
+from ..operators.numbering import numbered
 from ..operators.settings import Company, Persona
 from .postings import read_texts
 
@@ -93,10 +94,7 @@ def load_blacklist(text: str) -> list[str]:
 
 def ordered(files: DataFrame) -> DataFrame:
     """Adds ``ordinal``: files by path. Paths are few beside texts, so they are numbered apart from them."""
-    from pyspark.sql import Window as W
-
-    numbered = files.select("source_file").withColumn("ordinal", F.row_number().over(W.orderBy("source_file")).cast("long"))
-    return files.join(numbered, "source_file")
+    return files.join(numbered(files.select("source_file"), (), "source_file", "ordinal"), "source_file")
 
 
 def raw_postings(files: DataFrame) -> DataFrame:
