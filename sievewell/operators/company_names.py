@@ -29,7 +29,8 @@ def _cleaned(d: Spark, x: str) -> str:
     return f"case when length({out}) > 80 then '' else {out} end"
 
 
-def _generic(d: Spark, x: str) -> str:
+def generic(d: Spark, x: str) -> str:
+    """Whether a name stands for no company."""
     listed = ", ".join(map(d.text, PLACEHOLDERS))
     shaped = d.matches(f"lower({x})", r"^[a-z0-9][a-z0-9.-]*\.[a-z]{2,}$")
     return f"({x} = '' or lower({x}) in ({listed}) or {shaped} or contains(lower({x}), 'our client') or {d.matches(f'lower({x})', '^based in ')} or contains(lower({x}), 'confidential') or contains(lower({x}), 'stealth'))"
@@ -53,8 +54,8 @@ def stages(d: Spark, company: str = "company_name", title: str = "title", descri
             "n_brand": titled(d, f"{d.trimmed(spaced)}"),
         },
         {
-            "resolved": f"case when not {_generic(d, 'n_current')} then n_current else coalesce({d.at(d.keep('n_dashes', lambda x: f'not {_generic(d, x)}'), '1')},"
-            f" case when {d.size('n_parts')} > 1 and not {_generic(d, 'n_last')} then n_last end, case when not {_generic(d, 'n_about')} then n_about end, case when not {_generic(d, 'n_heading')} then n_heading end,"
+            "resolved": f"case when not {generic(d, 'n_current')} then n_current else coalesce({d.at(d.keep('n_dashes', lambda x: f'not {generic(d, x)}'), '1')},"
+            f" case when {d.size('n_parts')} > 1 and not {generic(d, 'n_last')} then n_last end, case when not {generic(d, 'n_about')} then n_about end, case when not {generic(d, 'n_heading')} then n_heading end,"
             f" case when n_host <> '' then nullif(case {known} else n_brand end, '') end, n_current) end"
         },
     ]

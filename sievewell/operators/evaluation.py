@@ -298,10 +298,10 @@ def evaluate_sql(source: str, persona: Persona, d: Spark, companies=COMPANIES, b
     return f"(with result as materialized (select * from {out}) select * from result)"
 
 
-def all_personas(postings: DataFrame, personas, companies=COMPANIES, blacklist=BLACKLIST) -> DataFrame:
+def all_personas(postings: DataFrame, personas, companies=COMPANIES, blacklist=BLACKLIST, candidate: list[dict[str, str]] | None = None) -> DataFrame:
     """Every persona judges every posting: one scan and one pass over the texts, a row per posting and persona."""
     kept, out = postings.columns, postings
-    each = [stages(SPARK, p, companies, blacklist) for p in personas]
+    each = [stages(SPARK, p, companies, blacklist, candidate=candidate) for p in personas]
     for stage in each[0][:-3]:
         out = out.selectExpr("*", *[f"{e} as {name}" for name, e in stage.items()])
     out = out.selectExpr("*", f"explode(sequence(0, {len(personas) - 1})) as who")

@@ -6,6 +6,7 @@ from ..functions import web
 from ..functions.catalogue import POSITIVE, RISK
 from ..functions.dialect import Spark
 from ..functions.urls import url_expressions
+from ..operators.artifacts import file_name
 from ..operators.reports import RUN_ALERTS
 from ..operators.settings import PERSONAS
 from .registry import sql_query
@@ -96,9 +97,7 @@ def anchor_jobs(d):
 @sql_query
 def artifact_names(d):
     """A stable file name of each address: its host and last segment, and a hash of all of it."""
-    last = d.extract(d.extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"([^/]+)/*$", 1)
-    stem = f"substr({web.slug(d, url_expressions(d)['host'], 'url')} || '-' || {web.slug(d, last, 'url')}, 1, 72)"
-    return f"select page_id, 'adhoc-url-' || {web.slug(d, d.text('Engineer--none'))} || '-' || {stem} || '-' || {d.fnv('url')} || '.yaml' as name, {web.scope_id(d, d.text('Engineer One'), d.text('none'))} as scope from @pages"
+    return f"select page_id, {file_name(d, d.text('Engineer'), d.text('none'))} as name, {web.scope_id(d, d.text('Engineer One'), d.text('none'))} as scope from @pages"
 
 
 @sql_query
