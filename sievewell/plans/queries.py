@@ -335,6 +335,6 @@ def stale_keys(spark, sf_dir):
     return keys.where((F.col("last_ok") < F.lit("2024-01-20").cast("timestamp")) | (F.col("views") == 0))
 
 
-from . import artifact_queries, context_queries, page_queries, posting_queries, run_queries, settings_queries, web_queries  # noqa: E402, F401  registers its queries
+from . import artifact_queries, context_queries, page_queries, posting_queries, run_queries, scrub_queries, settings_queries, web_queries  # noqa: E402, F401  registers its queries
 
 __all__ = ["ORACLES", "QUERIES"]
