@@ -45,4 +45,4 @@ def company_context(spark, sf_dir):
 def numbered_hot_keys(spark, sf_dir):
     """The place of each line among those of its flag: a few keys, the most frequent of which holds half of the rows."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"))
-    return numbered(lines, ("l_returnflag",), "place", range_rows=100_000).select("l_orderkey", "l_linenumber", "turn")
+    return numbered(lines, ("l_returnflag",), "place", range_rows=1_000).select("l_orderkey", "l_linenumber", "turn")
