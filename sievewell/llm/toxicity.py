@@ -126,6 +126,13 @@ def _select(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return telling[gain[telling] > 0]
 
 
+def _lists(column) -> list[np.ndarray]:
+    """The lists of a column as views of one array of 32-bit numbers."""
+    column = column.combine_chunks()
+    flat, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int):
     """(kept words, tables of the chain) or None without both labels.
 
@@ -133,11 +140,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     telling words, dealt alternately to the groups, say which a toxic document shows.
     """
     sample = labelled(docs, labels, label_col, id_col, text_col, sample_rows)
-    rows = sorted(sample.select("doc_id", "text", "y").mapInArrow(_present, "doc_id long, y int, words array<int>, counts array<int>").collect())
-    y = np.array([r["y"] for r in rows], dtype=float)
+    rows = sample.select("doc_id", "text", "y").mapInArrow(_present, "doc_id long, y int, words array<int>, counts array<int>").toArrow()
+    words, counts = (_lists(rows.column(c)) for c in ("words", "counts"))
+    ids, labels_of = rows.column("doc_id").to_numpy(), rows.column("y").to_numpy()
+    del rows
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], labels_of[i], words[i].tobytes(), counts[i].tobytes()))
+    y, words, counts = labels_of[order].astype(float), [words[i] for i in order], [counts[i] for i in order]
     if not len(y) or y.min() == y.max():
         return None
-    words, counts = ([np.array(r[c], dtype=np.int64) for r in rows] for c in ("words", "counts"))
     if not len(_select(words, y)):
         return None
     chain = Chain(words, counts, y)
