@@ -6,25 +6,64 @@ is only how they spell a regular expression, a lambda or a list.
 
 from __future__ import annotations
 
+import re
+
+
+def literal_of(p: str) -> str:
+    """The longest text that every match of a pattern holds, as far as its top level tells; empty if unsure."""
+    if "(?i" in p or "\\x" in p or "\\u" in p or "\\Q" in p:
+        return ""
+    runs, depth, i = [""], 0, 0
+    while i < len(p):
+        c = p[i]
+        if c.isalnum() or c in " _":
+            runs[-1] += c if depth == 0 else ""
+        elif c == "|" and depth == 0:
+            return ""
+        else:
+            if c in "?*{" and depth == 0:
+                runs[-1] = runs[-1][:-1]
+            runs.append("")
+            depth += (c == "(") - (c == ")")
+            if c == "\\":
+                i += 1
+            elif c in "[{":
+                # A class may hold its own closing bracket as an escape or in first place.
+                i += 2 if p[i + 1 : i + 2] in ("^", "]", "\\") else 1
+                while i < len(p) and p[i] != {"[": "]", "{": "}"}[c]:
+                    i += 2 if p[i] == "\\" else 1
+        i += 1
+    return max(runs, key=len)
+
 
 class Spark:
     """Spark SQL expressions."""
 
     name = "spark"
-    edge = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    #: Columns that hold a text column's words between single blanks, as ``padded`` makes them; whole words are looked for in them.
+    word_columns: dict[str, str] = {}
+    #: Java's word signs are ASCII in every version, unlike its boundaries; beside a letter or digit half of the boundary is known.
+    edge = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
     def text(self, s: str) -> str:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     def pattern(self, p: str) -> str:
         """An ASCII word boundary, whatever the Java version takes it for."""
+        p = re.sub(r"\\b([A-Za-z0-9])(?![?*{])", r"(?<!\\w)\1", p)
+        p = re.sub(r"(?<!\\)([A-Za-z0-9])\\b", r"\1(?!\\w)", p)
         return self.text(p.replace("\\b", self.edge))
 
     def matches(self, x: str, p: str) -> str:
-        return f"({x} rlike {self.pattern(p)})"
+        """A column is searched by a pattern only where the text stands that every match holds."""
+        held = literal_of(p) if x.isidentifier() else ""
+        guard = f"contains({x}, {self.text(held)}) and " if len(held) > 2 else ""
+        return f"({guard}{x} rlike {self.pattern(p)})"
 
     def extract(self, x: str, p: str, group: int = 1) -> str:
-        return f"regexp_extract({x}, {self.pattern(p)}, {group})"
+        held = literal_of(p) if x.isidentifier() else ""
+        found = f"regexp_extract({x}, {self.pattern(p)}, {group})"
+        return f"case when not contains({x}, {self.text(held)}) then '' else {found} end" if len(held) > 2 else found
 
     def extract_all(self, x: str, p: str, group: int = 1) -> str:
         return f"regexp_extract_all({x}, {self.pattern(p)}, {group})"
@@ -50,6 +89,10 @@ class Spark:
     def compact(self, items: list[str]) -> str:
         return f"filter(array({', '.join(items)}), x -> x is not null)"
 
+    def present(self, items: list[str]) -> str:
+        """The texts that are not null, equal ones once; unlike a lambda's, the items' expressions are compiled."""
+        return f"array_except(array({', '.join(items)}), array(cast(null as string)))"
+
     def size(self, xs: str) -> str:
         return f"size({xs})"
 
@@ -126,8 +169,21 @@ class Spark:
     def norm(self, x: str) -> str:
         return f"lower({self.trimmed(x)})"
 
+    def padded(self, x: str) -> str:
+        """The ASCII words of a text with one blank before, between and after them."""
+        return f"(' ' || {self.replace(x, '[^A-Za-z0-9_]+', ' ')} || ' ')"
+
+    def _whole(self, x: str, word: str) -> str | None:
+        """A plain word as a substring of its padded text, where there is such a column; what ``has`` finds by boundaries."""
+        if x in self.word_columns and word.isascii() and word.replace("_", "a").isalnum():
+            return f"contains({self.word_columns[x]}, {self.text(f' {word} ')})"
+        return None
+
     def has(self, x: str, word: str) -> str:
         """A phrase, or a word with a sign or another script, anywhere; a plain word only as a whole."""
+        whole = self._whole(x, word)
+        if whole:
+            return whole
         found = f"contains({x}, {self.text(word)})"
         if any(c in word for c in " -/") or not word.isascii():
             return found
@@ -140,6 +196,8 @@ class Spark:
         """Any word as ``has`` finds it. Plain substrings are looked for first: the expression is searched only where one of its words stands."""
         plain = [w for w in words if not any(c in w for c in " -/") and w.isascii()]
         parts = [f"contains({x}, {self.text(w)})" for w in words if w not in plain]
+        parts += [self._whole(x, w) for w in plain if self._whole(x, w)]
+        plain = [w for w in plain if not self._whole(x, w)]
         if plain:
             somewhere = " or ".join(f"contains({x}, {self.text(w)})" for w in plain)
             parts.append(f"(({somewhere}) and {self.matches(x, r'\b(?:' + '|'.join(map(self.escaped, plain)) + r')\b')})")
@@ -163,6 +221,12 @@ class Spark:
         return f"case {i} " + " ".join(f"when {k} then {v}" for k, v in enumerate(values, 1)) + " end" if values else "null"
 
 
+class Worded(Spark):
+    """Spark SQL over postings whose stages hold the words of text and title."""
+
+    word_columns = {"txt": "txt_words", "n_title": "title_words"}
+
+
 class DuckDB(Spark):
     """The same for DuckDB."""
 
@@ -177,6 +241,12 @@ class DuckDB(Spark):
     def matches(self, x: str, p: str) -> str:
         return f"regexp_matches({x}, {self.pattern(p)})"
 
+    def extract(self, x: str, p: str, group: int = 1) -> str:
+        return f"regexp_extract({x}, {self.pattern(p)}, {group})"
+
+    def present(self, items: list[str]) -> str:
+        return self.compact(items)
+
     def extract_all(self, x: str, p: str, group: int = 1) -> str:
         return f"list_transform(regexp_extract_all({x}, {self.pattern(p)}, {group}), lambda z: coalesce(z, ''))"
 
@@ -263,4 +333,4 @@ class DuckDB(Spark):
         return f"({a} // {b})"
 
 
-SPARK, DUCKDB = Spark(), DuckDB()
+SPARK, WORDED, DUCKDB = Spark(), Worded(), DuckDB()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import lexicon as L
 from ..functions.catalogue import POSITIVE, RISK
-from ..functions.dialect import SPARK, Spark
+from ..functions.dialect import WORDED, Spark
 from .settings import BLACKLIST, COMPANIES, Company, Persona
 
 UNKNOWN_COMPANY = "Unknown Company"
@@ -60,6 +60,7 @@ def _inputs(d: Spark, companies, blacklist, extra: str) -> list[dict[str, str]]:
             "japanese_site": flag(lambda c: c.japanese_site),
             "product_hint": flag(lambda c: "product" in c.type_hint.strip().lower()),
         },
+        *([{column: d.padded(x) for x, column in d.word_columns.items()}] if d.word_columns else []),
     ]
 
 
@@ -236,7 +237,7 @@ def stages(d: Spark, persona: Persona, companies=COMPANIES, blacklist=BLACKLIST,
     rules = signal_rules(d, persona, candidate[-1] if candidate else None, words)
     own = {k: v for k, v in rules.items() if k in _OF_PERSONA}
     found = {f"sig_{k}": v for k, v in rules.items() if k not in own}
-    named = lambda table: d.compact([f"case when {own.get(s[0], 'sig_' + s[0])} then {d.text(s[0])} end" for s in table])
+    named = lambda table: d.present([f"case when {own.get(s[0], 'sig_' + s[0])} then {d.text(s[0])} end" for s in table])
     weigh = lambda column, weight, table: d.total(d.each(column, lambda x: f"case {x} " + " ".join(f"when {d.text(s[0])} then {weight(*s)}" for s in table) + " else 0 end"))
     low, high = persona.score_range
     ratio = f"(raw_score - ({low})) * 100.0 / ({high} - ({low}))" if high > low else "50.0"
@@ -248,7 +249,7 @@ def stages(d: Spark, persona: Persona, companies=COMPANIES, blacklist=BLACKLIST,
         *_flags(d, words),
         *candidate[:-1],
         found,
-        {"positive_signals": named(POSITIVE), "risk_signals": named(RISK), "hard_reject_reasons": d.compact(_hard_filters(d, persona, words) or ["cast(null as string)"])},
+        {"positive_signals": named(POSITIVE), "risk_signals": named(RISK), "hard_reject_reasons": d.present(_hard_filters(d, persona, words) or ["cast(null as string)"])},
         {"raw_score": f"cast({weigh('positive_signals', persona.positive_weight, POSITIVE)} - {weigh('risk_signals', persona.risk_weight, RISK)} as int)"},
         {
             "verdict": f"case when {d.size('hard_reject_reasons')} > 0 then 'NO_GO' when raw_score >= 8 then 'GO' when raw_score >= 1 then 'GO_WITH_CAUTION' else 'NO_GO' end",
@@ -264,7 +265,7 @@ def evaluate(postings: DataFrame, persona: Persona, companies=COMPANIES, blackli
     """Adds the result columns to postings (company_name, title, salary_range, remote_policy, description), and staged columns to keep."""
     kept = postings.columns
     out = postings
-    for stage in stages(SPARK, persona, companies, blacklist, context or "''", candidate, words):
+    for stage in stages(WORDED, persona, companies, blacklist, context or "''", candidate, words):
         out = out.selectExpr("*", *[f"{e} as {name}" for name, e in stage.items()])
     return _fenced(out, [*kept, *RESULT, *keep])
 
@@ -301,12 +302,12 @@ def evaluate_sql(source: str, persona: Persona, d: Spark, companies=COMPANIES, b
 def all_personas(postings: DataFrame, personas, companies=COMPANIES, blacklist=BLACKLIST, candidate: list[dict[str, str]] | None = None) -> DataFrame:
     """Every persona judges every posting: one scan and one pass over the texts, a row per posting and persona."""
     kept, out = postings.columns, postings
-    each = [stages(SPARK, p, companies, blacklist, candidate=candidate) for p in personas]
+    each = [stages(WORDED, p, companies, blacklist, candidate=candidate) for p in personas]
     for stage in each[0][:-3]:
         out = out.selectExpr("*", *[f"{e} as {name}" for name, e in stage.items()])
     out = out.selectExpr("*", f"explode(sequence(0, {len(personas) - 1})) as who")
     by_persona = lambda values: "case who " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end"
     for step in (-3, -2, -1):
         out = out.selectExpr("*", *[f"{by_persona([steps[step][n] for steps in each])} as {n}" for n in each[0][step]])
-    names = by_persona([SPARK.text(p.name) for p in personas])
+    names = by_persona([WORDED.text(p.name) for p in personas])
     return out.selectExpr(f"{names} as persona", *kept, *RESULT)

@@ -11,14 +11,14 @@ from .settings import Persona
 
 def _texts(d: Spark, items: list[str]) -> str:
     """The items that are not null, in order."""
-    return d.compact(items)
+    return d.present(items)
 
 
 def _labels(d: Spark, pairs: list[tuple[str, str]]) -> str:
     """The labels, three at most, whose condition holds, with commas; repeated ones once."""
     named = dict.fromkeys(label for _, label in pairs)
     tests = {label: " or ".join(c for c, other in pairs if other == label) for label in named}
-    listed = d.compact([f"case when {tests[n]} then {d.text(n)} end" for n in named] or ["cast(null as varchar(1))"])
+    listed = d.present([f"case when {tests[n]} then {d.text(n)} end" for n in named] or ["cast(null as varchar(1))"])
     return d.glued(d.first_of(listed, "3"), d.text(", "))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dialect import DUCKDB as D, SPARK, Spark
+from ..functions.dialect import DUCKDB as D, SPARK, WORDED, Spark
 from ..operators import candidate, company_names, raw_text, reading
 from ..operators.evaluation import evaluate, evaluate_sql, staged, staged_sql
 from ..sources.postings import postings, postings_sql
@@ -36,7 +36,7 @@ _JUDGED = evaluate_sql(_POSTINGS, PERSONA, D, candidate=candidate.stages(D, _CAN
 
 
 def _judged(spark, sf_dir, keep=()):
-    return evaluate(_postings(spark, sf_dir), PERSONA, candidate=candidate.stages(SPARK, _CANDIDATE), keep=keep)
+    return evaluate(_postings(spark, sf_dir), PERSONA, candidate=candidate.stages(WORDED, _CANDIDATE), keep=keep)
 
 
 @query(f"select ordinal, {', '.join(f'list_contains(positive_signals, {D.text(s)}) or list_contains(risk_signals, {D.text(s)}) as {s}' for s in _FIT)}, raw_score, score, verdict from {_JUDGED}")
@@ -53,7 +53,7 @@ _READ_LISTS = ("why_still_interesting", "why_waste_of_time", "reasoning")
 @query(f"select ordinal, {', '.join(_READ)}, {', '.join(f'array_to_string({c}, chr(10)) as {c}' for c in _READ_LISTS)} from {staged_sql(_JUDGED, reading.stages(D, PERSONA, _CANDIDATE))}")
 def human_reading(spark, sf_dir):
     """Levels, summary and reasons of every posting."""
-    out = staged(_judged(spark, sf_dir, ("txt", "c_text", "c_years")), reading.stages(SPARK, PERSONA, _CANDIDATE), reading.COLUMNS)
+    out = staged(_judged(spark, sf_dir, ("txt", "txt_words", "c_text", "c_years")), reading.stages(WORDED, PERSONA, _CANDIDATE), reading.COLUMNS)
     return out.select("ordinal", *_READ, *[F.array_join(c, "\n").alias(c) for c in _READ_LISTS])
 
 

@@ -115,16 +115,17 @@ def append_history(history: DataFrame | None, run: DataFrame, scope: str, order:
 
 
 def alert_sink(kind: str):
-    """What to do with (severity, code, message) rows: ``none``, ``stdout`` or ``json-file``."""
+    """What to do with (severity, code, message) rows: ``none``, ``stdout`` (all of them, a partition at a time on the driver) or ``json-file``."""
     if kind == "none":
         return lambda alerts, path=None, head=None: "No alert is sent."
     if kind == "stdout":
 
         def show(alerts: DataFrame, path: str | None = None, head: dict | None = None) -> str:
-            rows = alerts.limit(1000).collect()
-            for r in rows:
+            shown = 0
+            for r in alerts.select("severity", "code", "message").toLocalIterator():
                 print(f"[{r['severity']}] {r['code']}: {r['message']}")
-            return f"{len(rows)} alerts are shown."
+                shown += 1
+            return f"{shown} alerts are shown."
 
         return show
     if kind == "json-file":
