@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewell.llm import filter_audit, html_text, spelling, vector_file
+from sievewell.llm.embedding_near_dup import near_duplicates as near_duplicate_vectors
 from sievewell.llm.token_group_join import jaccard_components
 
 SF = "/root/testdata/sf0.001"
@@ -223,3 +224,30 @@ def test_crafted_words_are_told_apart(spark):
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
     full = docs.selectExpr("*", "'en' as lang", "'s' as source", "cast(0 as long) as n_chars")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, full, "").collect()) == [1, 2, 3, 4]
+
+
+def test_equal_vectors_are_one_class(spark):
+    """Copies, near copies and scaled ones over many blocks and several classes of one vector, against brute force; a large group ends in seconds."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 12))
+    rows = []
+    for i in range(700):
+        v = base[rng.integers(6)] if i % 3 else base[0]
+        v = v + (0.05 * rng.normal(size=12) if i % 5 == 0 else 0)
+        rows.append((int(i * 7 % 701), (v * (2 if i % 4 == 0 else 1)).tolist(), int(i % 11 == 0)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df, block_rows=16, class_members=9).collect()}
+    ids, x, label = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (x @ x.T >= 0.93) & (label[:, None] == label) & ~np.eye(len(ids), dtype=bool)
+    root = ids.copy()
+    for _ in range(len(ids)):
+        newer = np.minimum(root, np.where(links, root, 1 << 40).min(axis=1))
+        if (newer == root).all():
+            break
+        root = newer
+    assert got == {int(v): (int(n), int(c), bool(v == c)) for v, n, c in zip(ids, links.sum(axis=1), root)}
+
+    many = spark.range(100_000).selectExpr("id as vec_id", "array(1d, 2d, if(id = 77, 2.1d, 3d)) as embedding", "1L as label")
+    row = near_duplicate_vectors(many).agg(F.min("n_links"), F.max("n_links"), F.max("component_id"), F.count("*")).first()
+    assert tuple(row) == (99_999, 99_999, 0, 100_000)
