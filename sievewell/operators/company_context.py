@@ -13,13 +13,15 @@ def _within(longer: DataFrame, shorter: DataFrame) -> DataFrame:
 
     Texts are cut into the pieces of the lengths that occur among the shorter ones, and meet
     them by equality. Those lengths, whole numbers up to the longest name, come to the driver.
+    Nothing here is broadcast: pieces are many times the file that names come from, by whose
+    size Spark would judge them.
     """
     lengths = sorted(r[0] for r in shorter.select(F.length("text")).distinct().collect())
     if not lengths:
         return longer.limit(0).select(F.col("text").alias("longer"), F.col("text").alias("shorter"))
     sized = longer.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).where("n <= length(text)")
     pieces = sized.selectExpr("text as longer", "explode(array_distinct(transform(sequence(1, length(text) - n + 1), i -> substr(text, i, n)))) as shorter")
-    return pieces.join(shorter.select(F.col("text").alias("shorter")), "shorter").select("longer", "shorter")
+    return pieces.join(shorter.select(F.col("text").alias("shorter")).hint("merge"), "shorter").select("longer", "shorter")
 
 
 def tracked_names(names: DataFrame, companies: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def tracked_names(names: DataFrame, companies: DataFrame) -> DataFrame:
     told, known = once(names), companies.selectExpr(f"{SPARK.norm('company_name')} as text", "ordinal").where("text <> ''").groupBy("text").agg(F.min("ordinal").alias("ordinal"))
     holds = _within(told, known.select("text")).select(F.col("longer").alias("name"), F.col("shorter").alias("text"))
     stands = _within(known.select("text"), told).select(F.col("shorter").alias("name"), F.col("longer").alias("text"))
-    return holds.unionByName(stands).join(known, "text").groupBy("name").agg(F.min("ordinal").alias("ordinal"))
+    return holds.unionByName(stands).join(known.hint("merge"), "text").groupBy("name").agg(F.min("ordinal").alias("ordinal"))
 
 
 def with_context(postings: DataFrame, companies: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -43,6 +45,6 @@ def with_context(postings: DataFrame, companies: DataFrame, contexts: DataFrame)
     company = web.slug(SPARK, "trim(coalesce(company_id, ''))")
     told = contexts.select("company", F.col("context").alias("company_context"))
     ids = companies.selectExpr("ordinal", f"{company} as company").groupBy("ordinal").agg(F.min("company").alias("company"))
-    by_name = tracked_names(postings, companies).join(ids, "ordinal").join(told, "company").select("name", "company_context")
-    out = postings.withColumn("_name", F.expr(SPARK.norm("company_name"))).join(by_name, F.col("_name") == F.col("name"), "left")
+    by_name = tracked_names(postings, companies).join(ids.hint("merge"), "ordinal").join(told.hint("merge"), "company").select("name", "company_context")
+    out = postings.withColumn("_name", F.expr(SPARK.norm("company_name"))).join(by_name.hint("merge"), F.col("_name") == F.col("name"), "left")
     return out.select(*postings.columns, F.coalesce("company_context", F.lit("")).alias("company_context"))

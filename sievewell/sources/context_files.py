@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import workers_import
 from .postings import read_texts
 from .yaml_files import _load
 
@@ -50,6 +51,7 @@ def contexts(files: DataFrame) -> DataFrame:
 
     A file that cannot be read gives an empty context and a warning, and no other file of the company takes its place. Spark lists no files without bytes, so these count as absent.
     """
+    workers_import(files.sparkSession)
     name = F.regexp_extract("source_file", r"([^/]+)\.([A-Za-z]+)$", 1)
     extension = F.lower(F.regexp_extract("source_file", r"([^/]+)\.([A-Za-z]+)$", 2))
     place = F.array_position(F.array(*map(F.lit, EXTENSIONS)), F.col("extension"))
