@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.dialect import SPARK, Spark
+from ..session import small_methods
 from .numbering import numbered
 
 _FIELDS = ("company_name", "title", "location", "salary_range", "remote_policy")
+_SOURCE_URL, _FETCHED = r"(?im)^\s*source url:\s*(\S+)\s*$", r"(?im)^\s*fetched at:[^\n]*\n?"
 
 
 def squeezed(d: Spark, x: str) -> str:
@@ -17,17 +19,35 @@ def squeezed(d: Spark, x: str) -> str:
 
 def key_expressions(d: Spark) -> dict[str, str]:
     """``base_key`` and ``fingerprint`` of a posting; the line that tells when it was fetched counts for neither."""
-    url = d.extract("coalesce(description, '')", r"(?im)^\s*source url:\s*(\S+)\s*$")
+    url = d.extract("coalesce(description, '')", _SOURCE_URL)
     role = " || '|' || ".join(squeezed(d, c) for c in ("company_name", "title", "location"))
-    body = d.replace("coalesce(description, '')", r"(?im)^\s*fetched at:[^\n]*\n?", "")
+    body = d.replace("coalesce(description, '')", _FETCHED, "")
     parts = " || '\n' || ".join([*(squeezed(d, c) for c in _FIELDS), squeezed(d, body)])
     digest = f"sha2({parts}, 256)" if d.name == "spark" else f"sha256({parts})"
     return {"base_key": f"case when {url} <> '' then 'source_url:' || {squeezed(d, url)} else 'role:' || {role} end", "fingerprint": digest}
 
 
+def key_stages() -> list[dict[str, str]]:
+    """What ``key_expressions`` says, for Spark: a pattern is searched only where texts hold what it looks for, and each text is made once."""
+    d, text = SPARK, "coalesce(description, '')"
+    single = lambda x: f"case when {x} rlike {d.text(r'[\t\n\x0B\f\r]|  ')} then {d.replace(x, r'\s+', ' ')} else {x} end"
+    body = f"case when {d.contains('k_low', 'fetched at:')} then {d.replace(text, _FETCHED, '')} else {text} end"
+    role = " || '|' || ".join(f"k_{c}" for c in ("company_name", "title", "location"))
+    return [
+        {"k_low": f"lower({text})", **{f"k_n_{c}": d.norm(c) for c in _FIELDS}},
+        {"k_url": f"case when {d.contains('k_low', 'source url:')} then {d.extract(text, _SOURCE_URL)} else '' end", "k_n_body": d.norm(body), **{f"k_{c}": single(f"k_n_{c}") for c in _FIELDS}},
+        {"k_body": single("k_n_body")},
+        {"base_key": f"case when k_url <> '' then 'source_url:' || {squeezed(d, 'k_url')} else 'role:' || {role} end", "fingerprint": f"sha2({" || '\n' || ".join([*(f'k_{c}' for c in _FIELDS), 'k_body'])}, 256)"},
+    ]
+
+
 def keyed(postings: DataFrame) -> DataFrame:
     """Adds job_key and fingerprint. Repeated keys are numbered in input order, however often one repeats."""
-    out = postings.selectExpr("*", *[f"{e} as {n}" for n, e in key_expressions(SPARK).items()])
+    small_methods(postings.sparkSession)
+    out = postings
+    for stage in key_stages():
+        out = out.selectExpr("*", *[f"{e} as {n}" for n, e in stage.items()])
+    out = out.select(*postings.columns, "base_key", "fingerprint")
     return numbered(out, ("base_key",), "ordinal").withColumn("job_key", F.when(F.col("turn") == 1, F.col("base_key")).otherwise(F.concat("base_key", F.lit("#"), F.col("turn").cast("string")))).drop("turn")
 
 

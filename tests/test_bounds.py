@@ -5,8 +5,9 @@ import re
 
 import pyarrow as pa
 
-from sievewell.functions.dialect import Marked, Worded, literals_of
+from sievewell.functions.dialect import SPARK, Marked, Worded, literals_of
 from sievewell.functions.marks import Marker
+from sievewell.operators import snapshots
 from sievewell.operators.evaluation import evaluate
 from sievewell.operators.settings import PERSONAS
 from sievewell.sources import page_tree, postings
@@ -54,3 +55,18 @@ def test_postings_are_tasks_of_bounded_rows_and_customers_are_not_broadcast(spar
     assert postings.spread(rows, "id", 3).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     plan = postings.postings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1
+
+
+def test_keys_are_compiled_and_search_only_where_something_stands(spark):
+    urls = [None, "", "a  b", "Source URL: HTTPS://a.example/X  ", "x\n  SOURCE url:\t\x0bq\u212a.example\ny", "source url: two words", "say source url: z", "SOURCE URL:\n\nlate"]
+    more = ["", "Fetched at: now", "Fetched at: now\nmore\r\n\tx", "x\n  FETCHED AT:\nfetched at: b\ny  z", "a\u00a0 b\x0bc\x0cd e ", "fetched\u0000 at:"]
+    names = [None, "  Kita\t\nKK ", "A B", "\u0130\u03a3  \u03a3\u00a0", "\x01a"]
+    rows = [(i, f"f{i}", names[i % 5], names[(i + 1) % 5], names[(i // 5) % 5], names[i % 3], names[i % 4], None if u is None and not m else f"{u or ''}\n{m}") for i, (u, m) in enumerate((u, m) for u in urls for m in more)]
+    posts = spark.createDataFrame(rows, "ordinal long, source_file string, company_name string, title string, location string, salary_range string, remote_policy string, description string")
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    got = snapshots.keyed(posts)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    assert got.columns == [*posts.columns, "base_key", "fingerprint", "job_key"]
+    want = posts.selectExpr("ordinal", *[f"{e} as {n}" for n, e in snapshots.key_expressions(SPARK).items()])
+    assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+    assert "contains(k_low" in got._jdf.queryExecution().optimizedPlan().toString().lower()
