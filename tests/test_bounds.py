@@ -5,6 +5,7 @@ import re
 
 import pyarrow as pa
 
+from sievewell import session
 from sievewell.functions.dialect import SPARK, Marked, Worded, literals_of
 from sievewell.functions.marks import Marker
 from sievewell.operators import snapshots
@@ -25,6 +26,19 @@ def test_facts_are_made_in_batches_of_bounded_markup():
     assert sum(sizes) == len(pages) and len(sizes) >= 4
 
 
+def test_pages_come_to_workers_in_batches_of_few_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    pages = spark.range(0, 60, 1, 1).selectExpr("id as page_id", "'https://a.example/' as url", "repeat('<p>patience</p>', 35000) as html")
+    page_tree.page_facts(pages)
+
+    def sizes(batches):
+        for rows in batches:
+            yield pa.RecordBatch.from_pydict({"size": [rows.column("html").nbytes]})
+
+    got = [r.size for r in pages.mapInArrow(sizes, "size long").collect()]
+    assert sum(got) >= 60 * 35000 * 15 and max(got) <= session.BATCH_BYTES + 35000 * 15 + 1000
+
+
 def test_marks_tell_what_searches_tell():
     rnd = random.Random(5)
     words = [("go", True), ("ab", False), ("abc", True), ("abcd", False), ("abcd", True), ("a_b", True), ("日本語", False), ("tech blog", False), ("aaaa", False), ("aaaaa", True), *((f"w{i}", True) for i in range(120))]
