@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import of_ids, prepare, release, written
+from .common import of_ids, prepare, release, written as _written
 from .components import connected_components
 from .texthash import batches, mix, shingle_sets
 
@@ -170,7 +170,7 @@ def _sets(k):
 
 
 def _tokens(num, den):
-    """(node, n, reach, lonely, shingles) to (token, node, n, reach, lonely, need)."""
+    """(node, n, reach, apart, shingles) to (token, node, n, reach, apart, need)."""
 
     def run(parts):
         for rows in parts:
@@ -179,7 +179,7 @@ def _tokens(num, den):
             at = np.concatenate([[0], np.cumsum(rows.column("n").to_numpy())])
             tokens, owners, need = _bucket_tokens(rows.column("shingles").flatten().to_numpy(), at, num, den)
             each = pa.array(np.repeat(np.arange(rows.num_rows), np.diff(owners)))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), *(rows.column(c).take(each) for c in ("node", "n", "reach", "lonely")), pa.array(need).take(each)], names=["token", "node", "n", "reach", "lonely", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), *(rows.column(c).take(each) for c in ("node", "n", "reach", "apart")), pa.array(need).take(each)], names=["token", "node", "n", "reach", "apart", "need"])
 
     return run
 
@@ -218,6 +218,11 @@ def _opened(num, den):
     return run
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Steps shuffle much of the input each, so their shuffle files go with them."""
+    return _written(df, label, drop_shuffles=True)
+
+
 def _dealt(rows: DataFrame, by: str) -> DataFrame:
     """Adds ``part``: rows (node, n) of one ``by`` are dealt to parts of bounded size."""
     sizes = rows.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts"))
@@ -225,9 +230,10 @@ def _dealt(rows: DataFrame, by: str) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of candidate pairs (u, v), those whose sets reach the similarity exactly."""
+    """Of written candidate pairs (u, v), those whose sets reach the similarity exactly; of ``sets`` only those in pairs are shuffled."""
     one = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
-    joined = pairs.join(one("u"), "u").join(one("v"), "v").withColumn("both", F.size(F.array_intersect("su", "sv")).cast("long"))
+    joined = of_ids(one("u"), pairs, "u", "inner").join(of_ids(one("v"), pairs.select("v"), "v", "left_semi"), "v")
+    joined = joined.withColumn("both", F.size(F.array_intersect("su", "sv")).cast("long"))
     return joined.where(den * F.col("both") >= num * (F.size("su") + F.size("sv") - F.col("both"))).select("u", "v")
 
 
@@ -262,23 +268,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = met.groupBy(F.col("cls").alias("d1")).agg(F.floor(F.sum("lonely") / F.sum("kind")).alias("u"))
     judged = classes.join(counts, "d1", "left").withColumn("u", F.greatest(F.coalesce("u", F.lit(0)), F.lit(0)))
     judged = judged.where(f"u <= n - (n * {num} + {den - 1}) div {den} and n * {den - num} div {num} >= 1")
+    # ``apart`` orders classes by the share of shingles of their own, then by id: 20 and 43 bits.
     # A set of n with u shingles of its own reaches a partner of at most ``reach``, as both / (n + m - both) >= num / den.
-    judged = judged.select("node", "rep", "d1", "d2", "n", F.expr(f"cast(floor((n - u) * {num + den} / {num}) as long) - n + 1").alias("reach"), (F.col("u") / F.col("n")).alias("lonely"))
+    judged = judged.select("node", "rep", "d1", "d2", "n", F.expr(f"cast(floor((n - u) * {num + den} / {num}) as long) - n + 1").alias("reach"), F.expr("shiftleft(cast(floor(u / n * 1048576) as long), 43) | least(greatest(rep, 0), 8796093022207)").alias("apart"))
     judged = written(judged, "tg-judged")
     mine = of_ids(texts, judged.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = mine.mapInArrow(_sets(shingle_words), "rep long, d1 long, d2 long, shingles array<long>").join(judged, ["rep", "d1", "d2"])
-    sets = written(sets.select("node", "n", "reach", "lonely", "shingles"), "tg-sets")
+    sets = written(sets.select("node", "n", "reach", "apart", "shingles"), "tg-sets")
     if sets.count() > judged.count():
         repeated, sets = sets, written(sets.dropDuplicates(["node"]), "tg-sets")
         release(repeated)
     release(judged)
 
-    # Tokens of several classes, each with its most typical class; frequent tokens are joined, not windowed, so that skew can be split.
-    tokens = written(sets.mapInArrow(_tokens(num, den), "token long, node long, n long, reach long, lonely double, need long"), "tg-tokens")
-    several = tokens.groupBy("token").agg(F.min("n").alias("least"), F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct("lonely", "node")).alias("centre"))
-    several = several.where("low <> high").select("token", "least", F.col("centre.node").alias("centre"))
-    live = written(tokens.join(several, "token").where("least <= reach").select("token", "node", "n", "reach", "need", "centre"), "tg-live")
-    release(tokens)
+    # Tokens of several classes, each with its most typical class, the one least ``apart``. All is longs, so that Spark
+    # aggregates by hash and rows of one class stay together, which compress; frequent tokens are joined, not windowed, so that skew can be split.
+    tokens = written(sets.mapInArrow(_tokens(num, den), "token long, node long, n long, reach long, apart long, need long"), "tg-tokens")
+    several = tokens.groupBy("token").agg(F.min("n").alias("least"), F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", "apart").alias("centre"))
+    several = written(several.where("low <> high").select("token", "least", "centre"), "tg-several")
+    live = written(tokens.drop("apart").join(several, "token").where("least <= reach").select("token", "node", "n", "reach", "need", "centre"), "tg-live")
+    release(tokens, several)
 
     # Classes that link to the most typical class of a token they share.
     stars = live.where("node <> centre").groupBy(F.col("centre").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("times"), F.first("need").alias("need")).where("times >= need").select("u", "v")
@@ -300,11 +308,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not near.isEmpty():
         contents = sets.select("node", "shingles")
         listed = F.collect_list(F.struct("node", "shingles"))
-        asking = _dealt(near, "other").join(contents, "node").groupBy("other", "part").agg(listed.alias("queries"))
-        asked = own.select("node", F.col("grp").alias("other")).join(near.select("other").distinct(), "other", "left_semi").join(contents, "node").groupBy("other").agg(listed.alias("members"))
-        more = asking.join(asked, "other").select("queries", "members").mapInArrow(_opened(num, den), "u long, v long")
+        asking = written(_dealt(near, "other").select("node", "other", "part"), "tg-asking")
+        asked = written(own.select("node", F.col("grp").alias("other")).join(near.select("other").distinct(), "other", "left_semi"), "tg-asked")
+        queries = of_ids(contents, asking, "node", "inner").groupBy("other", "part").agg(listed.alias("queries"))
+        members = of_ids(contents, asked, "node", "inner").groupBy("other").agg(listed.alias("members"))
+        more = queries.join(members, "other").select("queries", "members").mapInArrow(_opened(num, den), "u long, v long")
         fewer, links = links, written(links.union(more), "tg-links")
-        release(groups, fewer)
+        release(groups, fewer, asking, asked)
         groups = connected_components(links)
     release(own, matrix, near, sets, links)
     linked = classes.join(groups, "node")
