@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .common import prepare, written
+from .common import give_back, lean, prepare, written
 
 CAPACITY = 2048
 SHARD_PIECES = 4096
@@ -33,8 +33,8 @@ CROSSOVERS, PATIENCE = 60, 12
 #: A bin filled less is packed again with those of other shards.
 WELL_FILLED = 0.995
 _TOKENIZERS: dict[str, "_WordTokenizer"] = {}
-#: Words a worker knows at most, some 200 bytes each; fewer are asked for again more often.
-_KEPT_WORDS = 800_000
+#: Words of a generation, some 200 bytes each; a worker knows two generations. Fewer are asked for again more often.
+_KEPT_WORDS = 150_000
 #: The end of a word; no text word of letters holds it.
 _MARK = "\ue000"
 _LETTERS = re.compile("[a-zà-öø-ÿß]+")
@@ -61,6 +61,7 @@ class _WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
         self.stops = {c: self._raw(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
         model = json.loads(self.tokenizer.to_str())["model"]
         self.merger, self.ids, self.ends = _merger(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
@@ -111,13 +112,18 @@ class _WordTokenizer:
             known[w] = known[base] + stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text. Words that come again pass on to the next generation, the others are forgotten with theirs."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
         fresh = words.difference(self.known)
         if len(self.known) + 2 * len(fresh) > _KEPT_WORDS:
-            self.known = {"": b""}
+            self.before, self.known = self.known, {"": b""}
             fresh = words.difference(self.known)
+        if self.before:
+            new = fresh.difference(self.before)
+            for w in fresh - new:
+                self.known[w] = self.before[w]
+            fresh = new
         if fresh:
             self._learn(fresh)
         return [b"".join(map(self.known.__getitem__, w)) for w in split]
@@ -149,15 +155,16 @@ def _merger(vocab: dict[str, int], merges: list[tuple[str, str]]):
 
 
 def _pieces(path: str, capacity: int, end_id: int):
+    @lean
     def run(parts):
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = _WordTokenizer(path)
+            give_back()
         tok, stop = _TOKENIZERS[path], np.array([end_id], dtype="<u4").tobytes()
         for rows in parts:
-            ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-            for low in range(0, len(ids), 128):
-                out = []
-                for doc, raw in zip(ids[low : low + 128], tok.encode([t or "" for t in texts[low : low + 128]])):
+            for low in range(0, rows.num_rows, 128):
+                some, out = rows.slice(low, 128), []
+                for doc, raw in zip(some.column(0).to_pylist(), tok.encode([t or "" for t in some.column(1).to_pylist()])):
                     raw += stop
                     n = len(raw) // 4
                     for p, s in enumerate(range(0, n, capacity)):
@@ -293,6 +300,7 @@ def evolve(sizes: list[int], capacity: int, seed: list[int], guests: list[list[i
 def _seed(capacity: int):
     """Shards to their packing by best-fit decreasing."""
 
+    @lean
     def run(parts):
         for rows in parts:
             out = []
@@ -305,6 +313,7 @@ def _seed(capacity: int):
 
 
 def _island(capacity: int, epoch: int):
+    @lean
     def run(parts):
         for rows in parts:
             got, out = rows.to_pydict(), []

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepare
+from .common import lean, prepare
 from .texthash import batches, token_hashes
 
 BUCKETS, DIMENSIONS, REACH = 1 << 14, 32, 2
@@ -41,6 +41,7 @@ def _buckets(part):
     return (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS, at
 
 
+@lean
 def _contexts(parts):
     """One task's sums of contexts by hashed word."""
     index = index_vectors()
@@ -115,6 +116,7 @@ def _batches(rows, vec, wts):
 def features(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x array<float>) of every row, with broadcast vectors and weights."""
 
+    @lean
     def run(parts):
         for rows in parts:
             for some, x in _batches(rows, *shared.value):
@@ -208,6 +210,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     shared = spark.sparkContext.broadcast(word_vectors(docs, text_col))
     network = fit(docs, labels.where(~held_out(F.col(id_col))), shared, label_col, id_col, text_col, sample_rows)
 
+    @lean
     def run(parts):
         for rows in parts:
             for some, x in _batches(rows, *shared.value):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .anchors import GRAM, SEGMENT, owned_runs, span_hashes, window_anchors
-from .common import prepare, release, written
+from .common import lean, prepare, release, written
 from .texthash import prefix_sums
 
 WINDOW = 400
@@ -39,6 +39,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _runs(window: int):
     """Texts to runs: (anchor, content, n, lead, members), equal ones of a batch together, as members (row, start): of a large group of copies few rows are shuffled."""
 
+    @lean
     def run(parts):
         for rows in parts:
             out = []
@@ -81,6 +82,7 @@ def _slices(window: int):
         columns = [runs.field(c).cast(kind) for c, kind in kinds.items()]
         return pa.RecordBatch.from_arrays([*columns, pa.array([b for _, bs in held for b in bs], pa.binary())], names=[*kinds, "bytes"])
 
+    @lean
     def run(parts):
         held, size = [], 0
         for rows in parts:
@@ -105,6 +107,7 @@ def _cells(window: int, cell: int):
     those that its windows in this run cover. The runs of a batch are one buffer.
     """
 
+    @lean
     def run(parts):
         for rows in parts:
             if not rows.num_rows:
@@ -140,6 +143,7 @@ def _cells(window: int, cell: int):
 def _windows(window: int):
     """(bytes of a run, its open cells) to single windows."""
 
+    @lean
     def run(parts):
         for rows in parts:
             out = []
@@ -182,6 +186,7 @@ def _bits(rows: DataFrame) -> np.ndarray:
 def _maybe(bits):
     """Rows (row, bytes, slot) whose slot is filled."""
 
+    @lean
     def run(parts):
         filled = bits.value
         for rows in parts:
@@ -255,6 +260,7 @@ def _covered(found: pa.ListArray, window: int) -> list[list[tuple[int, int]]]:
 def _regions(short: int, window: int, over_words: int):
     """(row, bytes, found) to the stretches of repeated short windows that hold a window or more words than ``over_words``: (row, low, words, passage, bytes)."""
 
+    @lean
     def run(parts):
         for rows in parts:
             out = []
@@ -272,6 +278,7 @@ def _regions(short: int, window: int, over_words: int):
 
 
 def _keep(window: int, as_text: bool, over_words: int):
+    @lean
     def run(parts):
         for rows in parts:
             out = []

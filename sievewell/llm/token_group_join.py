@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import of_ids, prepare, release, written as _written
+from .common import lean, of_ids, prepare, release, written as _written
 from .components import connected_components
 from .texthash import batches, mix, shingle_sets
 
@@ -101,6 +101,7 @@ def _digests(hashes, at):
 
 
 def _summaries(k):
+    @lean
     def run(parts):
         for rows in parts:
             ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
@@ -129,6 +130,7 @@ def _lookups(k, num, den):
         who[: ends - len(several)] = cls[alone]
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(who, mask=unknown), pa.array(count)], names=["kind", "key", "cls", "lonely"])
 
+    @lean
     def run(parts):
         seen: set[int] = set()
         held, size = [], 0
@@ -158,6 +160,7 @@ def _lookups(k, num, den):
 
 
 def _sets(k):
+    @lean
     def run(parts):
         for rows in parts:
             ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
@@ -172,6 +175,7 @@ def _sets(k):
 def _tokens(num, den):
     """(node, n, reach, apart, shingles) to (token, node, n, reach, apart, need)."""
 
+    @lean
     def run(parts):
         for rows in parts:
             if not rows.num_rows:
@@ -193,6 +197,7 @@ def _opened(num, den):
         at = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
         return both.field("node").to_numpy(), sets.flatten().to_numpy(), at
 
+    @lean
     def run(parts):
         for rows in parts:
             for queries, members in zip(rows.column("queries"), rows.column("members")):
