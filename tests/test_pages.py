@@ -8,6 +8,7 @@ from sievewell.functions.markup import attributes, parse
 from sievewell.operators import page_postings as P
 from sievewell.operators.evaluation import evaluate
 from sievewell.operators.settings import PERSONAS, Company
+from sievewell.plans.page_queries import page_context
 from sievewell.sources.page_tree import distinct_lines, facts, page_facts
 
 BASE = "https://example.com/careers"
@@ -60,6 +61,16 @@ def test_boards_links_and_summaries(spark):
     assert (told.page_title, told.page_description, told.contexts) == ("Umi Works", "We ship&sail.", ["Engineering culture", "Diversity matters here.", "Benefits: lunch"])
 
 
+def test_context_query_counts_all_links_and_tells_all_items(spark, tmp_path):
+    boards = [f'<a href="/list/{i}">Open positions {i}</a><a href="/list/{i}">Careers again</a>' for i in range(9)]
+    links = [f'<a href="/who/{i}">Our culture</a><a href="/WHO/{i}">our CULTURE</a>' for i in range(11)]
+    items = [f"<li>Team {i:02d}</li><li>TEAM {i:02d}</li>" for i in reversed(range(12))]
+    pages = [(0, BASE, "".join(boards + links + items)), (1, BASE, boards[0] + links[0] + items[0]), (2, BASE, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.n_boards, r.n_links, r.contexts.split("\n")) for r in page_context(spark, str(tmp_path)).collect()}
+    assert got == {0: (9, 11, [f"Team {i:02d}" for i in reversed(range(12))]), 1: (1, 1, ["Team 11"]), 2: (0, 0, [""])}
+
+
 DETAIL = """<html><head><title>Software Engineer - Umi | Board</title></head><body>
 <header><section id="job-header"><h1>Software Engineer</h1>
 <p>Umi</p>
