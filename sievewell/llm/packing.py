@@ -12,13 +12,13 @@ are packed again with those of other shards, until one shard holds them all.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
@@ -33,13 +33,15 @@ CROSSOVERS, PATIENCE = 60, 12
 #: A bin filled less is packed again with those of other shards.
 WELL_FILLED = 0.995
 _TOKENIZERS: dict[str, "_WordTokenizer"] = {}
-#: Words of a generation, some 200 bytes each; a worker knows two generations. Fewer are asked for again more often.
+#: Words of a generation, some 30 bytes each; a worker knows two generations. Fewer are asked for again more often.
 _KEPT_WORDS = 150_000
 #: The end of a word; no text word of letters holds it.
 _MARK = "\ue000"
-_LETTERS = re.compile("[a-zà-öø-ÿß]+")
-#: Lines of such letters alone.
-_PLAIN = re.compile("^[a-zà-öø-ÿß]+$", re.M)
+#: Words of letters that have one lower case, and of marks behind them, which are a word of their own for the tokenizer.
+_MARKED = r"[!-&(-/:-@\[-`{-~]+$"
+_PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+(?:$|%s)" % _MARKED
+#: Bytes of the texts that are tokenised at once, or one longer text.
+_TEXT_BYTES = 4_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -54,15 +56,13 @@ class _WordTokenizer:
     vocabulary: a mark stands for the end of a word and is joined to its last byte
     before anything else. What that gives is what the tokenizer gives, as every
     token of the vocabulary is what its own bytes merge to. All other words go to
-    the tokenizer itself.
+    the tokenizer itself. Words and their ids are Arrow arrays.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
-        self.stops = {c: self._raw(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
+        self.known, self.known_ids = self.before, self.before_ids = _NOTHING
         model = json.loads(self.tokenizer.to_str())["model"]
         self.merger, self.ids, self.ends = _merger(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
 
@@ -70,63 +70,78 @@ class _WordTokenizer:
     def _raw(ids) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _merge(self, words: list[str]) -> None:
-        """Words of letters only."""
-        for low in range(0, len(words), 8000):
-            part = words[low : low + 8000]
-            ranks = np.array(self.merger.encode_ordinary(_MARK.join(part) + _MARK), dtype=np.int64)
-            cuts = (4 * (np.flatnonzero(self.ends[ranks]) + 1)).tolist()
-            raw, at = self.ids[ranks].tobytes(), 0
-            for w, end in zip(part, cuts):
-                self.known[w] = raw[at:end]
-                at = end
-
-    def _ask(self, words: list[str]) -> None:
+    def _merge(self, words: pa.Array) -> pa.Array:
+        """Ids of words of letters and marks; what comes in several of them is merged once."""
+        low = pc.utf8_lower(words)
+        low = pc.if_else(pc.match_substring_regex(words, _MARKED), pc.replace_substring_regex(low, f"({_MARKED})", rf"{_MARK}\1"), low)
+        split = pc.split_pattern(low, _MARK)
+        coded = split.flatten().dictionary_encode()
+        parts = coded.dictionary
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(parts)], parts), _MARK)[0].as_py() + _MARK
+        ranks = self.merger.encode_to_numpy(text)
+        ids = _lists(np.flatnonzero(self.ends[ranks]) + 1, self.ids[ranks]).take(coded.indices)
+        return pa.ListArray.from_arrays(ids.offsets.take(split.offsets), ids.values)
+
+    def _ask(self, words: list[str]) -> pa.Array:
+        ends, raw, held = [], [], 0
         for low in range(0, len(words), 4000):
             part = words[low : low + 4000]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.zeros(len(part) + 1, dtype=np.int64)
-            np.cumsum([len(w) + 1 for w in part], out=starts[1:])
-            cuts = (4 * np.searchsorted(np.array([a for a, _ in got.offsets], dtype=np.int64), starts)).tolist()
-            raw = self._raw(got.ids)
-            for w, a, b in zip(part, cuts, cuts[1:]):
-                self.known[w] = raw[a:b]
+            starts = np.cumsum([len(w) + 1 for w in part])
+            ends.append(held + np.searchsorted(np.array([a for a, _ in got.offsets], dtype=np.int64), starts))
+            raw.append(np.array(got.ids, dtype="<u4"))
+            held += len(raw[-1])
+        return _lists(np.concatenate(ends), np.concatenate(raw))
 
     def _learn(self, words: set[str]) -> None:
-        plain = _PLAIN.findall("\n".join(words))
-        letters, other, made = dict.fromkeys(plain), [], []
-        known = self.known
-        for w in words.difference(plain):
-            base, stop = w.lower(), b""
-            if base[-1] in ".," and base[-2:-1].isalpha():
-                base, stop = base[:-1], self.stops[base[-1]]
-            if not _LETTERS.fullmatch(base):
-                other.append(w)
-                continue
-            if base not in known:
-                letters[base] = None
-            made.append((w, base, stop))
-        self._merge(list(letters))
-        self._ask(other)
-        for w, base, stop in made:
-            known[w] = known[base] + stop
+        words = pa.array(list(words), pa.string())
+        plain = pc.match_substring_regex(words, _PLAIN)
+        letters, other = words.filter(plain), words.filter(pc.invert(plain))
+        if len(letters):
+            self._keep(letters, self._merge(letters))
+        if len(other):
+            self._keep(other, self._ask(other.to_pylist()))
+
+    def _keep(self, words: pa.Array, ids: pa.Array) -> None:
+        self.known, self.known_ids = pa.concat_arrays([self.known, words]), pa.concat_arrays([self.known_ids, ids])
+
+    def _places(self, words: pa.Array) -> pa.Array:
+        """Where the ids of words are, each of which is known then. Those that come again pass on to the next generation, the others are forgotten with theirs."""
+        at = pc.index_in(words, self.known)
+        if not at.null_count:
+            return at
+        if len(self.known) + at.null_count > _KEPT_WORDS:
+            self.before, self.before_ids = self.known, self.known_ids
+            self.known, self.known_ids = _NOTHING
+            at = pc.index_in(words, self.known)
+        fresh = words.filter(at.is_null())
+        again = pc.index_in(fresh, self.before)
+        self._keep(fresh.filter(again.is_valid()), self.before_ids.take(again.drop_null()))
+        if again.null_count:
+            self._learn(set(fresh.filter(again.is_null()).to_numpy(zero_copy_only=False)))
+        return pc.index_in(words, self.known)
+
+    def token_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; where each text's begin, and the last one's end). A null text counts as empty."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        places = self._places(coded.dictionary)
+        ids = self.known_ids.take(places.take(coded.indices))
+        return ids.flatten().to_numpy(), ids.offsets.to_numpy()[split.offsets.to_numpy()]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text. Words that come again pass on to the next generation, the others are forgotten with theirs."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        fresh = words.difference(self.known)
-        if len(self.known) + 2 * len(fresh) > _KEPT_WORDS:
-            self.before, self.known = self.known, {"": b""}
-            fresh = words.difference(self.known)
-        if self.before:
-            new = fresh.difference(self.before)
-            for w in fresh - new:
-                self.known[w] = self.before[w]
-            fresh = new
-        if fresh:
-            self._learn(fresh)
-        return [b"".join(map(self.known.__getitem__, w)) for w in split]
+        """Little-endian 32-bit ids of each text."""
+        ids, at = self.token_ids(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+
+def _lists(ends: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """The ids of each word, which end there."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.uint32()))
+
+
+#: The empty word, which has no ids.
+_NOTHING = pa.array([""]), pa.array([[]], pa.list_(pa.uint32()))
 
 
 def _merger(vocab: dict[str, int], merges: list[tuple[str, str]]):
@@ -154,6 +169,18 @@ def _merger(vocab: dict[str, int], merges: list[tuple[str, str]]):
     return tiktoken.Encoding("words", pat_str=f"[^{_MARK}]*{_MARK}", mergeable_ranks=ranks, special_tokens={}), np.array(ids, dtype="<u4"), np.array(ends)
 
 
+def _cuts(rows: pa.RecordBatch):
+    """Rows of at most ``_TEXT_BYTES`` of text, or one longer."""
+    begin = held = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(rows.column(1)), 0).to_pylist()):
+        if i > begin and held + size > _TEXT_BYTES:
+            yield rows.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if begin < rows.num_rows:
+        yield rows.slice(begin)
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     @lean
     def run(parts):
@@ -162,14 +189,15 @@ def _pieces(path: str, capacity: int, end_id: int):
             give_back()
         tok, stop = _TOKENIZERS[path], np.array([end_id], dtype="<u4").tobytes()
         for rows in parts:
-            for low in range(0, rows.num_rows, 128):
-                some, out = rows.slice(low, 128), []
-                for doc, raw in zip(some.column(0).to_pylist(), tok.encode([t or "" for t in some.column(1).to_pylist()])):
-                    raw += stop
-                    n = len(raw) // 4
+            for some in _cuts(rows):
+                ids, at = tok.token_ids(some.column(1))
+                out = []
+                for doc, begin, end in zip(some.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+                    n = end - begin + 1
                     for p, s in enumerate(range(0, n, capacity)):
-                        part = raw[4 * s : 4 * (s + capacity)]
-                        out.append((doc, p, s, len(part) // 4, zlib.crc32(part)))
+                        length = min(capacity, n - s)
+                        crc = zlib.crc32(ids[begin + s : min(begin + s + length, end)])
+                        out.append((doc, p, s, length, zlib.crc32(stop, crc) if s + length == n else crc))
                 c = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
